@@ -15,6 +15,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexweave.llm.minhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), size=3, percent=85)
+
+
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexweave.llm.sharding import shard
 
@@ -40,6 +46,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op4_pack": op4_pack,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_shard": op6_shard,
     "op10_token_files": op10_token_files,
 }
