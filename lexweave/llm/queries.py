@@ -35,6 +35,12 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexweave.llm.fingerprints import fingerprints
+
+    return fingerprints(documents(spark, sf_dir))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pack": op4_pack,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_shard": op6_shard,
+    "op9_fingerprints": op9_fingerprints,
     "op10_token_files": op10_token_files,
 }
 
