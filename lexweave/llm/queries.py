@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from lexweave.llm.common import documents
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexweave.llm.mixing import mix_plan
 
@@ -27,6 +31,18 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexweave.llm.quality import score_quality
+
+    return score_quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexweave.llm.toxicity import score_toxicity
+
+    return score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -51,9 +67,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_quality": op2_quality,
     "op4_pack": op4_pack,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_shard": op6_shard,
+    "op7_toxicity": op7_toxicity,
     "op9_fingerprints": op9_fingerprints,
     "op10_token_files": op10_token_files,
 }
