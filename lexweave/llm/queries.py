@@ -51,6 +51,13 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexweave.llm.ann import nearest
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexweave.llm.fingerprints import fingerprints
 
@@ -72,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_duplicates": op5_near_duplicates,
     "op6_shard": op6_shard,
     "op7_toxicity": op7_toxicity,
+    "op8_nearest": op8_nearest,
     "op9_fingerprints": op9_fingerprints,
     "op10_token_files": op10_token_files,
 }
