@@ -43,6 +43,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexweave.llm.suffix import repeated_passages
+
+    return repeated_passages(documents(spark, sf_dir))
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -75,6 +81,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality": op2_quality,
+    "op3_repeated_passages": op3_repeated_passages,
     "op4_pack": op4_pack,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_shard": op6_shard,
