@@ -14,6 +14,8 @@ from lexweave.llm.common import Scratch, arrow_bytes, cut, mix, shingles, words
 BANDS, ROWS = 20, 5
 #: Rounds in which every bucket compares all its members with one of them, before what is left is compared in full.
 STAR_ROUNDS = 2
+#: Classes of one bucket that are compared at a time in what is left after that.
+BLOCK = 64
 
 _SEED = np.arange(1, 2 * 1024 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -105,6 +107,25 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return both.mapInArrow(run, "a long, b long")
 
 
+def own_shingles(docs: DataFrame, size: int) -> DataFrame:
+    """(class, total, private): how many shingles each document has, and how many that no other of docs has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):
+                b = whole.slice(i, 256)
+                hashed, _, _, at = words(*arrow_bytes(b.column(1)), lower=True)
+                sets, own = shingles(hashed, at, size)
+                ids = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), np.diff(own))))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sets.view(np.int64))], ["class", "shingle"])
+
+    each = docs.select("doc_id", "text").mapInArrow(run, "class long, shingle long")
+    held = each.groupBy("shingle").agg(F.min("class").alias("class"), F.max("class").alias("last"), F.count("*").alias("n"))
+    private = held.where("class = last").groupBy("class").agg(F.sum("n").alias("private"))
+    total = each.groupBy("class").agg(F.count("*").alias("total"))
+    return total.join(private, "class", "left").select("class", "total", F.coalesce("private", F.lit(0)).alias("private"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): each node's smallest reachable node, by alternating large-star and small-star.
 
@@ -129,6 +150,40 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
+def within_buckets(members: DataFrame, texts: DataFrame, size: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """Confirmed links (a, b) between members (bucket, class, component) of a bucket in different components.
+
+    A bucket's members are dealt to blocks and a task holds two blocks of one bucket: a bucket of any size is
+    compared block against block, in bounded memory, and only links leave the task.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        hashed, _, _, at = words(*arrow_bytes(table.column("text")), lower=True)
+        sets, own = shingles(hashed, at, size)
+        count = np.diff(own)
+        ids, comp, side = (table.column(c).to_numpy() for c in ("class", "component", "side"))
+        values, code, n = np.unique(sets, return_inverse=True, return_counts=True)
+        shared = n > 1  # a shingle of one member adds to no intersection
+        place = np.cumsum(shared) - 1
+        has = np.zeros((len(ids), int(shared.sum())), dtype=np.float32)
+        keep = shared[code]
+        has[np.repeat(np.arange(len(ids)), count)[keep], place[code[keep]]] = 1
+        x, y = np.flatnonzero(side < 2), np.flatnonzero(side > 0)
+        both = (has[x] @ has[y].T).astype(np.int64)
+        ok = (100 * both >= percent * (count[x][:, None] + count[y][None] - both)) & (both > 0) & (comp[x][:, None] != comp[y][None])
+        i, j = np.nonzero(ok)
+        one, two = ids[x[i]], ids[y[j]]
+        return pa.table({"a": np.minimum(one, two), "b": np.maximum(one, two)})
+
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi")
+    dealt = members.join(sizes, "bucket").withColumn("k", F.ceil(F.col("n") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("class"), F.col("k")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    # side: 0 in the lower block, 2 in the higher one, 1 where both are the same.
+    side = F.when(F.col("mine") == F.col("other"), 1).when(F.col("mine") < F.col("other"), 0).otherwise(2)
+    dealt = dealt.select("bucket", "class", "component", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), side.alias("side"))
+    return dealt.join(texts.withColumnRenamed("doc_id", "class"), "class").groupBy("bucket", "lo", "hi").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
@@ -136,8 +191,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     bucket are compared in stars: each with the bucket's smallest class and with its most central one (whose
     buckets together are the largest, so the original of a group of copies), then, where a bucket still spans
     components of confirmed links, with another of its classes. What is left after that, pairs of one bucket in
-    different components, is compared in full, so no link between them is lost, and a group of copies costs as
-    many comparisons as it has members. Before its whole sets are compared, a pair's signatures must agree as
+    different components, is compared in full, so no link between them is lost; there, shingles that only one
+    of the classes left has bound what it can share with any other, which rules out members of a group that
+    differ each in its own way. A group of copies so costs about as many comparisons as it has members. Before its whole sets are compared, a pair's signatures must agree as
     far as the threshold less five and a half standard deviations.
 
     Rows whose text is null or without words have an empty set, link with nothing and are kept. A text with
@@ -152,6 +208,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         exploded = classes.select("class", F.explode("bands").alias("bucket"))
         sizes = exploded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("first")).where("n > 1")
         members = scratch.table(exploded.join(sizes, "bucket"))
+        texts = docs.where("doc_id is not null").select("doc_id", "text").join(members.select(F.col("class").alias("doc_id")).distinct(), "doc_id")
+        texts = scratch.table(texts)
         weight = members.groupBy("class").agg(F.sum("n").alias("weight"))
         central = members.join(weight, "class").groupBy("bucket").agg(F.max_by("class", F.struct("weight", -F.col("class"))).alias("hub"))
         hubs = members.where("n > 2").join(central, "bucket").select(F.least("hub", "class").alias("a"), F.greatest("hub", "class").alias("b")).where("a <> b")
@@ -167,15 +225,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
                 if turn < STAR_ROUNDS:
                     pairs = own.where("component <> _p.component").select(F.least("class", "_p.class").alias("a"), F.greatest("class", "_p.class").alias("b"))
                 else:
-                    other = own.select("bucket", F.col("class").alias("c2"), F.col("component").alias("k2"))
-                    pairs = own.join(other, "bucket").where("class < c2 and component <> k2").select(F.col("class").alias("a"), F.col("c2").alias("b"))
+                    held = own_shingles(texts.join(own.select(F.col("class").alias("doc_id")).distinct(), "doc_id"), size)
+                    left = own.join(held, "class").where(f"100 * (total - private) >= {percent} * total").select("bucket", "class", "component")
+                    links = cut(links.union(within_buckets(left, texts, size, percent)).distinct())
+                    break
                 pairs = pairs.distinct().join(tried, ["a", "b"], "left_anti")
             pairs = cut(pairs)
-            if turn and not pairs.take(1):
-                break
             tried = pairs if tried is None else tried.union(pairs)
             likely = agreeing(pairs, classes, percent, bands * rows)
-            new = cut(confirmed(likely, docs.where("doc_id is not null").select("doc_id", "text"), size, percent))
+            new = cut(confirmed(likely, texts, size, percent))
             links = new if links is None else cut(links.union(new))
         found = components(links).select(F.col("node").alias("class"), "component")
         out = base.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "class"), "set_key", "left").join(found, "class", "left")
