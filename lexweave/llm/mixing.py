@@ -71,16 +71,16 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     n_chars, if there, follows the text. Documents without words are kept once. Rows equal in doc_id and text
     are taken alike, as often as the least taken of them.
     """
-    plan = mix_plan(docs, weights, share, cap, seed).select(F.col("doc_id").alias("_id"), F.col("_tie"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    plan = plan.groupBy("_id", "_tie").agg(F.max("_size").alias("_size"), F.sort_array(F.collect_list("_taken")).alias("_each"))
-    keyed = docs.withColumn("_id", F.col("doc_id")).withColumn("_tie", F.xxhash64("text"))
-    keyed = keyed.join(plan, F.col("_id").eqNullSafe(plan["_id"]) & (keyed["_tie"] == plan["_tie"])).select(*[keyed[c] for c in docs.columns], "_size", F.element_at("_each", 1).alias("_taken"))
-    whole = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size"))).otherwise(F.lit(1)).cast("int")
-    part = (F.col("_taken") - whole * F.col("_size")).cast("int")
-    takes = F.concat(F.array_repeat(F.lit(-1), whole), F.when((F.col("_size") > 0) & (part > 0), F.array(part)).otherwise(F.array().cast("array<int>")))
-    rows = keyed.withColumn("_take", F.explode(takes))
-    text = F.when(F.col("_take") < 0, F.col("text")).otherwise(F.array_join(F.slice(F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), 1, F.greatest(F.col("_take"), F.lit(1))), ""))
+    plan = mix_plan(docs, weights, share, cap, seed).select(F.col("doc_id").alias("__mix_id"), F.col("_tie").alias("__mix_tie"), F.col("size").alias("__mix_size"), F.col("taken").alias("__mix_taken"))
+    plan = plan.groupBy("__mix_id", "__mix_tie").agg(F.max("__mix_size").alias("__mix_size"), F.sort_array(F.collect_list("__mix_taken")).alias("__mix_each"))
+    keyed = docs.withColumn("__mix_text", F.xxhash64("text"))
+    keyed = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("__mix_id")) & (F.col("__mix_text") == F.col("__mix_tie"))).withColumn("__mix_taken", F.element_at("__mix_each", 1))
+    whole = F.when(F.col("__mix_size") > 0, F.floor(F.col("__mix_taken") / F.col("__mix_size"))).otherwise(F.lit(1)).cast("int")
+    part = (F.col("__mix_taken") - whole * F.col("__mix_size")).cast("int")
+    takes = F.concat(F.array_repeat(F.lit(-1), whole), F.when((F.col("__mix_size") > 0) & (part > 0), F.array(part)).otherwise(F.array().cast("array<int>")))
+    rows = keyed.withColumn("__mix_take", F.explode(takes))
+    text = F.when(F.col("__mix_take") < 0, F.col("text")).otherwise(F.array_join(F.slice(F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), 1, F.greatest(F.col("__mix_take"), F.lit(1))), ""))
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_take") < 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+        rows = rows.withColumn("n_chars", F.when(F.col("__mix_take") < 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
     return rows.select(*docs.columns)

@@ -168,8 +168,14 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, rows: int = SAMPLE
     return [(bytes(r["text"]), r["label"]) for r in found.orderBy("doc_id").select("text", "label").toLocalIterator()]
 
 
+def scores(model: Model, texts: pa.Array, mask: np.ndarray) -> np.ndarray:
+    """Scores of texts; mask is a cleared scratch array of the feature space."""
+    data, at = arrow_bytes(texts)
+    return model.score(np.array([model.margin(features(data[a:e], mask)) for a, e in zip(at[:-1], at[1:], strict=True)]))
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Every column-free row of docs as (doc_id, held_out, score, predicted).
+    """(doc_id, held_out, score, predicted) of every row of docs, from its whole text.
 
     The model is fitted on a bounded sample of labelled rows and every whole text is scored. Null and empty
     texts have no features and get the score of the bias. Repeated rows get equal scores; columns other than
@@ -180,18 +186,23 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, ro
     shared = spark.sparkContext.broadcast(fit([t for t, _ in sample], [v for _, v in sample]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         mask = np.zeros(1 << BITS, dtype=bool)
         for b in batches:
-            data, at = arrow_bytes(b.column(1))
-            margin = np.array([model.margin(features(data[a:e], mask)) for a, e in zip(at[:-1], at[1:], strict=True)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(margin))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(shared.value, b.column(1), mask))], ["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """docs without the rows whose score is below threshold."""
-    bad = score_quality(docs, labels, threshold, rows).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti").select(*docs.columns)
+    """docs without the rows whose score is below threshold; rows are scored and dropped in one pass."""
+    sample = labelled(docs, labels, "quality", rows)
+    shared = docs.sparkSession.sparkContext.broadcast(fit([t for t, _ in sample], [v for _, v in sample]))
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.zeros(1 << BITS, dtype=bool)
+        for b in batches:
+            yield b.filter(pa.array(scores(shared.value, b.column(text), mask) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -305,12 +305,15 @@ def drop_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     n_chars, if there, follows the text. A document of which no word is left goes. Others, and rows without
     doc_id, stay as they are.
     """
-    cuts = passages.groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_list(F.struct("start_word", "n_words"))).alias("_cuts"))
+    cuts = passages.groupBy(F.col("doc_id").alias("__cut_doc")).agg(F.sort_array(F.collect_list(F.struct("start_word", "n_words"))).alias("__cut_spans"))
 
     @F.pandas_udf("string")
     def cut_out(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
         for text, own in zip(texts, spans, strict=True):
+            if own is None:
+                out.append(text)
+                continue
             data = (text or "").encode()
             _, begin, _, _ = words(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]))
             begin = np.append(begin, len(data))
@@ -322,8 +325,8 @@ def drop_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
             out.append(b"".join([*parts, data[at:]]).decode())
         return pd.Series(out)
 
-    joined = docs.join(cuts, docs["doc_id"] == cuts["_doc"], "left")
-    joined = joined.withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(cut_out("text", "_cuts")))
+    joined = docs.join(cuts, docs["doc_id"] == cuts["__cut_doc"], "left")
+    joined = joined.withColumn("text", cut_out("text", "__cut_spans"))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_cuts").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return joined.where(F.col("_cuts").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+        joined = joined.withColumn("n_chars", F.when(F.col("__cut_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+    return joined.where(F.col("__cut_spans").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
