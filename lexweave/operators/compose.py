@@ -166,3 +166,11 @@ def segmentations(words: DataFrame, literals: DataFrame, max_components: int = 4
             yield pd.DataFrame(rows, columns=["key", "place", "components", "limited"])
 
     return atoms(words, literals).mapInPandas(run, "key string, place int, components array<string>, limited boolean")
+
+
+def with_parts(segments: DataFrame, values: DataFrame) -> DataFrame:
+    """segments (key, components) with parts: what values (key, v) has for each component, in order; whole ones only."""
+    each = segments.select("key", "components", F.posexplode("components").alias("p", "part"))
+    each = each.join(values.withColumnRenamed("key", "part"), "part")
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("p", "v"))), lambda x: x["v"])
+    return each.groupBy("key", "components").agg(parts.alias("parts")).where(F.size("parts") == F.size("components"))

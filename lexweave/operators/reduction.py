@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from lexweave.functions.values import runtime_unique, safe_ratio
-from lexweave.operators.compose import PROFILES, Rule, derive, linker_candidates, propose, segmentations, two_part_splits
+from lexweave.operators.compose import PROFILES, Rule, derive, linker_candidates, propose, segmentations, two_part_splits, with_parts
 from lexweave.operators.durable import cut
 
 
@@ -34,10 +34,7 @@ def _derived(found: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 
 def _with_parts(segments: DataFrame, values: DataFrame) -> DataFrame:
-    """segments (key, components) with each component's variants in order."""
-    each = segments.select("key", "components", F.posexplode("components").alias("p", "part"))
-    each = each.join(values.select(F.col("key").alias("part"), F.col("variants").alias("v")), "part")
-    return each.groupBy("key", "components").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "v"))), lambda x: x["v"]).alias("parts")).where(F.size("parts") == F.size("components"))
+    return with_parts(segments, values.select("key", F.col("variants").alias("v")))
 
 
 def candidates(words: DataFrame, literals: DataFrame, config: ReductionConfig, splits: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
