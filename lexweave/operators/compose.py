@@ -98,13 +98,18 @@ def linker_candidates(words: DataFrame, literals: DataFrame, linkers: tuple[str,
     return each.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("key", "left", "linker", "right", "place")
 
 
-def atoms(words: DataFrame, literals: DataFrame) -> DataFrame:
-    """(key, atoms): each word's stored substrings as (start, length); lengths that aren't stored are never tried."""
+def substrings(words: DataFrame, stored: DataFrame) -> DataFrame:
+    """(key, s, n, atom): every place where a stored key stands in a word."""
     n = F.char_length("key")
     starts = words.select("key", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))).alias("s"))
     each = starts.select("key", "s", F.explode(F.sequence(F.lit(1), F.char_length("key") - F.col("s"))).alias("n"))
     each = each.select("key", "s", "n", F.substring("key", F.col("s") + 1, F.col("n")).alias("atom"))
-    found = each.join(literals.select(F.col("key").alias("atom")), "atom", "left_semi")
+    return each.join(stored.select(F.col("key").alias("atom")), "atom", "left_semi")
+
+
+def atoms(found: DataFrame, literals: DataFrame) -> DataFrame:
+    """(key, atoms): of found substrings those that literals has, as (start, length) in order, a row a word."""
+    found = found.join(literals.select(F.col("key").alias("atom")), "atom", "left_semi")
     return found.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("s", "n"))).alias("atoms"))
 
 
@@ -151,8 +156,11 @@ def segment_word(word: str, at: dict[int, list[int]], max_components: int, k: in
         return None
 
 
-def segmentations(words: DataFrame, literals: DataFrame, max_components: int = 4, k: int = 1, max_states: int = 100_000, scored: bool = False) -> DataFrame:
-    """(key, place, components, limited): each word's k best segmentations, or one row limited when search gave up."""
+def segmentations(words: DataFrame, literals: DataFrame, max_components: int = 4, k: int = 1, max_states: int = 100_000, scored: bool = False, found: DataFrame | None = None) -> DataFrame:
+    """(key, place, components, limited): each word's k best segmentations, or one row limited when search gave up.
+
+    found has the words' substrings, if they are known already; those that literals lacks are left out.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -165,7 +173,7 @@ def segmentations(words: DataFrame, literals: DataFrame, max_components: int = 4
                 rows += [(key, 0, [], True)] if best is None else [(key, i + 1, list(p), False) for i, p in enumerate(best)]
             yield pd.DataFrame(rows, columns=["key", "place", "components", "limited"])
 
-    return atoms(words, literals).mapInPandas(run, "key string, place int, components array<string>, limited boolean")
+    return atoms(substrings(words, literals) if found is None else found.join(words.select("key"), "key", "left_semi"), literals).mapInPandas(run, "key string, place int, components array<string>, limited boolean")
 
 
 def with_parts(segments: DataFrame, values: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from lexweave.functions.values import runtime_unique, safe_ratio
-from lexweave.operators.compose import PROFILES, Rule, derive, linker_candidates, propose, segmentations, two_part_splits, with_parts
+from lexweave.operators.compose import PROFILES, Rule, derive, linker_candidates, propose, segmentations, substrings, two_part_splits, with_parts
 from lexweave.operators.durable import cut
 
 
@@ -37,7 +37,7 @@ def _with_parts(segments: DataFrame, values: DataFrame) -> DataFrame:
     return with_parts(segments, values.select("key", F.col("variants").alias("v")))
 
 
-def candidates(words: DataFrame, literals: DataFrame, config: ReductionConfig, splits: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
+def candidates(words: DataFrame, literals: DataFrame, config: ReductionConfig, splits: DataFrame | None = None, members: DataFrame | None = None, found_atoms: DataFrame | None = None) -> DataFrame:
     """(key, components, linker, rule_id, candidate, limited): what literals make of each word, if anything.
 
     The split with the longest left half comes first; only words without one are segmented further, then (if
@@ -54,7 +54,7 @@ def candidates(words: DataFrame, literals: DataFrame, config: ReductionConfig, s
         done = _derived(done, config.rules).withColumn("limited", F.lit(False))
         left = words.join(done.select("key"), "key", "left_anti")
     if config.scored or config.max_components > 2:
-        segments = cut(segmentations(left, literals, config.max_components, 1, config.max_states, config.scored))
+        segments = cut(segmentations(left, literals, config.max_components, 1, config.max_states, config.scored, found_atoms))
         more = _with_parts(segments.where("not limited").select("key", "components"), lit).withColumn("linker", F.lit(None).cast("string"))
         more = _derived(more, config.rules).withColumn("limited", F.lit(False))
         gave_up = segments.where("limited").select("key", F.col("components"), F.lit(None).cast("string").alias("linker"), F.lit(None).cast("string").alias("rule_id"), F.lit(None).cast("array<string>").alias("candidate"), F.lit(True).alias("limited"))
@@ -62,7 +62,7 @@ def candidates(words: DataFrame, literals: DataFrame, config: ReductionConfig, s
         done = more if done is None else done.unionByName(more)
         left = left.join(more.select("key"), "key", "left_anti")
     if config.recursive and members is not None:
-        segments = segmentations(left, members, config.max_components, 1, config.max_states).where("not limited")
+        segments = segmentations(left, members, config.max_components, 1, config.max_states, found=found_atoms).where("not limited")
         more = _with_parts(segments.select("key", "components"), members.select("key", "variants")).withColumn("linker", F.lit(None).cast("string"))
         more = _derived(more, config.rules).withColumn("limited", F.lit(False))
         done = more if done is None else done.unionByName(more)
@@ -88,6 +88,7 @@ def greedy_basis(lexicon: DataFrame, config: ReductionConfig | None = None, forc
     config = config or ReductionConfig()
     source = cut(lexicon.select("key", "variants", F.char_length("key").alias("_len")))
     splits = None if config.scored else cut(two_part_splits(source, source).withColumn("_len", F.char_length("key")))
+    found_atoms = cut(substrings(source, source).where("atom <> key").withColumn("_len", F.char_length("key"))) if config.scored or config.recursive or config.max_components > 2 else None
     lengths = [r[0] for r in source.select("_len").distinct().orderBy("_len").collect()]
     decided, literals = None, None
     for n in lengths:
@@ -97,7 +98,7 @@ def greedy_basis(lexicon: DataFrame, config: ReductionConfig | None = None, forc
             made = free.select("key", F.lit(None).cast("array<string>").alias("components"), F.lit(None).cast("string").alias("linker"), F.lit(None).cast("string").alias("rule_id"), F.lit(None).cast("array<string>").alias("candidate"), F.lit(False).alias("limited")).where("false")
         else:
             own = None if splits is None else splits.where(F.col("_len") == n).drop("_len").join(free.select("key"), "key", "left_semi")
-            made = candidates(free, literals, config, own, source.where(F.col("_len") < n) if config.recursive else None)
+            made = candidates(free, literals, config, own, source.where(F.col("_len") < n) if config.recursive else None, None if found_atoms is None else found_atoms.where(F.col("_len") == n).drop("_len"))
         j = level.join(made, "key", "left")
         if forced is not None:
             j = j.join(forced.select("key", F.lit(True).alias("_forced")), "key", "left")
@@ -108,7 +109,7 @@ def greedy_basis(lexicon: DataFrame, config: ReductionConfig | None = None, forc
         level = cut(j.withColumn("literal", F.coalesce(F.col("_forced"), F.lit(False)) | ~exact).withColumn("reason", reason).select(*DECISION))
         decided = level if decided is None else decided.unionByName(level)
         kept = level.where("literal").select("key", "variants")
-        literals = kept if literals is None else literals.unionByName(kept)
+        literals = kept if literals is None else cut(literals.unionByName(kept).coalesce(8)) if n % 4 == 0 else literals.unionByName(kept)
     return decided
 
 
