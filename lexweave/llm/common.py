@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
 import tempfile
 import uuid
@@ -65,6 +68,27 @@ class Scratch:
         self.drop()
 
 
+#: What this worker keeps warm between tasks: one operator's state at a time.
+_WARM: dict = {}
+
+
+def warm(key, make):
+    """The worker's state under key, made once; state under other keys is let go."""
+    if key not in _WARM:
+        cool()
+        _WARM[key] = make()
+    return _WARM[key]
+
+
+def cool() -> None:
+    """Let go of what other operators left in this worker and give free memory back to the system."""
+    _WARM.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def hash60(*cols: Column, seed: str = "") -> Column:
     """A uniform 60-bit number from the md5 of the columns' text; any engine with md5 orders rows alike."""
     parts = [F.coalesce(c.cast("string"), F.lit("")) for c in cols]

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lexweave.llm.common import Scratch, arrow_bytes, cut, mix, shingles, words
+from lexweave.llm.common import Scratch, arrow_bytes, cool, cut, mix, shingles, words
 
 #: 20 bands of 5 minima: a pair at similarity 0.8 shares a band with probability 1 - 4e-4, at 0.85 1 - 8e-6.
 BANDS, ROWS = 20, 5
@@ -41,6 +41,7 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, n_shingles, set_key, signature, bands) of every row; the last three are null for rows without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cool()
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 b = whole.slice(i, 256)
@@ -86,6 +87,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cool()
         for whole in batches:
             for i in range(0, whole.num_rows, 128):
                 b = whole.slice(i, 128)
@@ -111,6 +113,7 @@ def own_shingles(docs: DataFrame, size: int) -> DataFrame:
     """(class, total, private): how many shingles each document has, and how many that no other of docs has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cool()
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 b = whole.slice(i, 256)

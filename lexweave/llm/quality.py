@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lexweave.llm.common import arrow_bytes, words
+from lexweave.llm.common import arrow_bytes, cool, words
 
 #: Feature space: hashes of runs of 1 to 4 bytes.
 BITS, GRAMS = 18, (1, 2, 3, 4)
@@ -186,6 +186,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, ro
     shared = spark.sparkContext.broadcast(fit([t for t, _ in sample], [v for _, v in sample]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cool()
         mask = np.zeros(1 << BITS, dtype=bool)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(shared.value, b.column(1), mask))], ["doc_id", "score"])
@@ -201,6 +202,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, row
     text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cool()
         mask = np.zeros(1 << BITS, dtype=bool)
         for b in batches:
             yield b.filter(pa.array(scores(shared.value, b.column(text), mask) >= threshold))

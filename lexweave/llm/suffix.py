@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from lexweave.llm.common import Scratch, arrow_bytes, cut, gram_hashes, mix, words
+from lexweave.llm.common import Scratch, arrow_bytes, cool, cut, gram_hashes, mix, words
 
 #: A passage has at least so many words.
 MIN_WORDS = 50
@@ -72,6 +72,7 @@ def _suffixes(docs: DataFrame, core: int) -> DataFrame:
     """(key, doc, pos) of each retained suffix with core words left: the hash of those words, and where it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cool()
         for whole in batches:
             for i in range(0, whole.num_rows, 512):
                 b = whole.slice(i, 512)
@@ -98,6 +99,7 @@ def _contexts(docs: DataFrame, core: int, reach: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cool()
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 b = whole.slice(i, 256)

@@ -12,6 +12,8 @@ import re
 
 import numpy as np
 
+from lexweave.llm.common import warm
+
 #: Id put after each document.
 END_ID = 1
 #: Pieces a worker remembers.
@@ -149,14 +151,9 @@ class Encoder:
         return out, at
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(path: str, kind: str) -> Encoder:
     """The worker's encoder for a vocabulary."""
-    if (path, kind) not in _ENCODERS:
-        _ENCODERS[path, kind] = Encoder(path, kind)
-    return _ENCODERS[path, kind]
+    return warm(("encoder", path, kind), lambda: Encoder(path, kind))
 
 
 def chunks(texts: list[bytes | None], limit: int = 1 << 21):

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lexweave.llm.common import arrow_bytes, mix, _tables
+from lexweave.llm.common import arrow_bytes, cool, mix, _tables
 from lexweave.llm.quality import held_out, labelled
 
 #: Labelled rows that the word weights are learned from: the documented bound.
@@ -88,6 +88,7 @@ def count_trigrams(docs: DataFrame) -> np.ndarray:
     """How often each three symbols follow each other in all documents: tasks count theirs, Spark sums them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cool()
         total = np.zeros(SYMBOLS**3, dtype=np.int64)
         for b in batches:
             for i in range(0, b.num_rows, 512):
@@ -360,6 +361,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, r
     shared = docs.sparkSession.sparkContext.broadcast(fit([t for t, _ in sample], [v for _, v in sample], model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cool()
         scorer = shared.value
         decoder = Decoder(scorer.model)
         for whole in batches:
