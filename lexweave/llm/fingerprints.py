@@ -202,6 +202,7 @@ def _rows(ids: list, texts: list[str], following: list[str]) -> pd.DataFrame:
     )
 
 
+ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -255,7 +256,7 @@ def fingerprints(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
                 j += 1
             out.append(_rows(own[i:j], texts[i:j], texts[i + 1 : j + 1]))
             i = j
-        return pa.Table.from_pandas(pd.concat(out) if out else _rows([], [], []), preserve_index=False)
+        return pa.Table.from_pandas(pd.concat(out) if out else _rows([], [], []), schema=ARROW, preserve_index=False)
 
     return both.groupBy("group").applyInArrow(run, SCHEMA)
 

@@ -15,7 +15,9 @@ BANDS, ROWS = 20, 5
 #: Rounds in which every bucket compares all its members with one of them, before what is left is compared in full.
 STAR_ROUNDS = 2
 #: Classes of one bucket that are compared at a time in what is left after that.
-BLOCK = 64
+BLOCK = 128
+#: Steps in which shares of private shingles are told apart.
+LEVELS = 100
 
 _SEED = np.arange(1, 2 * 1024 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -154,10 +156,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def within_buckets(members: DataFrame, texts: DataFrame, size: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """Confirmed links (a, b) between members (bucket, class, component) of a bucket in different components.
+    """Confirmed links (a, b) between members (bucket, class, component, total, private) in different components.
 
-    A bucket's members are dealt to blocks and a task holds two blocks of one bucket: a bucket of any size is
-    compared block against block, in bounded memory, and only links leave the task.
+    A bucket's members are dealt to blocks by their share of private shingles, which bounds what two blocks'
+    members can have in common; a task holds two blocks of one bucket that may hold links. A bucket of any size
+    is so compared in bounded memory, and only links leave the task.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -178,9 +181,18 @@ def within_buckets(members: DataFrame, texts: DataFrame, size: int, percent: int
         one, two = ids[x[i]], ids[y[j]]
         return pa.table({"a": np.minimum(one, two), "b": np.maximum(one, two)})
 
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi")
-    dealt = members.join(sizes, "bucket").withColumn("k", F.ceil(F.col("n") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("class"), F.col("k")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    # Two sets of which shares a and b are private are at most 1 / (1 / (1 - a) + 1 / (1 - b) - 1) alike.
+    level = F.floor(LEVELS * F.col("private") / F.col("total")).cast("int")
+    members = members.withColumn("level", level).drop("total", "private")
+    blocks = members.groupBy("bucket", "level").agg(F.ceil(F.count("*") / block).cast("int").alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    blocks = blocks.groupBy("bucket").agg(F.collect_list(F.struct("level", "k")).alias("levels"), F.min("lo").alias("_lo"), F.max("hi").alias("_hi")).where("_lo <> _hi").drop("_lo", "_hi")
+    room = 1 + 100 / percent + 1e-9
+    fits = lambda x: 1 / (1 - F.col("level") / LEVELS) + 1 / (1 - x["level"] / LEVELS) <= room
+    dealt = members.join(blocks, "bucket").withColumn("k", F.filter("levels", lambda x: x["level"] == F.col("level"))[0]["k"])
+    mine = F.struct("level", F.pmod(F.xxhash64("class"), F.col("k")).cast("int").alias("b"))
+    every = F.flatten(F.transform(F.filter("levels", fits), lambda x: F.transform(F.sequence(F.lit(0), x["k"] - 1), lambda i: F.struct(x["level"].alias("level"), i.alias("b")))))
+    # A set whose own level doesn't fit itself still meets lower levels.
+    dealt = dealt.select("bucket", "class", "component", mine.alias("mine"), F.explode(every).alias("other"))
     # side: 0 in the lower block, 2 in the higher one, 1 where both are the same.
     side = F.when(F.col("mine") == F.col("other"), 1).when(F.col("mine") < F.col("other"), 0).otherwise(2)
     dealt = dealt.select("bucket", "class", "component", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), side.alias("side"))
@@ -229,7 +241,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
                     pairs = own.where("component <> _p.component").select(F.least("class", "_p.class").alias("a"), F.greatest("class", "_p.class").alias("b"))
                 else:
                     held = own_shingles(texts.join(own.select(F.col("class").alias("doc_id")).distinct(), "doc_id"), size)
-                    left = own.join(held, "class").where(f"100 * (total - private) >= {percent} * total").select("bucket", "class", "component")
+                    left = own.join(held, "class").where(f"100 * (total - private) >= {percent} * total").select("bucket", "class", "component", "total", "private")
                     links = cut(links.union(within_buckets(left, texts, size, percent)).distinct())
                     break
                 pairs = pairs.distinct().join(tried, ["a", "b"], "left_anti")
