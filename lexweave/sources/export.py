@@ -40,9 +40,9 @@ def jsonl_lines(lexicon: DataFrame) -> DataFrame:
 def tsv_lines(lexicon: DataFrame, allow_lossy: bool = False) -> DataFrame:
     """(key, line): a line a variant; tagged and word-only keys are an error unless they may be dropped."""
     plain = F.col("kind").isin("scalar", "list")
-    if not allow_lossy:
-        lexicon = lexicon.withColumn("key", F.when(plain, F.col("key")).otherwise(F.raise_error(F.concat(F.lit("not expressible as TSV: "), F.col("key")))))
-    each = lexicon.where(plain).select("key", *[c for c in ("ordinal",) if c in lexicon.columns], F.posexplode("variants").alias("pos", "v"))
+    error = F.raise_error(F.concat(F.lit("not expressible as TSV: "), F.col("key"))).cast("boolean")
+    kept = lexicon.where(plain if allow_lossy else F.when(plain, F.lit(True)).otherwise(error))
+    each = kept.select("key", *[c for c in ("ordinal",) if c in lexicon.columns], F.posexplode("variants").alias("pos", "v"))
     return each.withColumn("line", F.concat_ws("\t", "key", "v"))
 
 
