@@ -339,7 +339,7 @@ def test_lossy_exports(spark, tmp_path):
         export.export_file(t, str(tmp_path / "x.json"))
     export.export_file(t.where("kind <> 'word'"), str(tmp_path / "y.json"))
     assert one(compare.verify(readers.read_lexicon(spark, str(tmp_path / "y.json")), t.where("kind <> 'word'")))["lossless"]
-    assert export.convert_file(spark, str(tmp_path / "x.tsv"), str(tmp_path / "z.jsonl")) == 4
+    assert export.convert_file(spark, str(tmp_path / "y.json"), str(tmp_path / "z.jsonl")) == 5
 
 
 def test_pack(spark, tmp_path):
