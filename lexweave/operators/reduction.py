@@ -52,13 +52,15 @@ def candidates(words: DataFrame, literals: DataFrame, config: ReductionConfig, s
         best = found.groupBy("key").agg(F.max_by(F.struct("left", "right", "lv", "rv"), "i").alias("b"))
         done = best.select("key", F.array("b.left", "b.right").alias("components"), F.array("b.lv", "b.rv").alias("parts"), F.lit(None).cast("string").alias("linker"))
         done = _derived(done, config.rules).withColumn("limited", F.lit(False))
+        if config.max_components > 2 or config.recursive or config.linkers:
+            done, words = cut(done), cut(words)  # read again by every later step
         left = words.join(done.select("key"), "key", "left_anti")
     if config.scored or config.max_components > 2:
         segments = cut(segmentations(left, literals, config.max_components, 1, config.max_states, config.scored, found_atoms))
         more = _with_parts(segments.where("not limited").select("key", "components"), lit).withColumn("linker", F.lit(None).cast("string"))
         more = _derived(more, config.rules).withColumn("limited", F.lit(False))
         gave_up = segments.where("limited").select("key", F.col("components"), F.lit(None).cast("string").alias("linker"), F.lit(None).cast("string").alias("rule_id"), F.lit(None).cast("array<string>").alias("candidate"), F.lit(True).alias("limited"))
-        more = more.unionByName(gave_up)
+        more = cut(more.unionByName(gave_up))
         done = more if done is None else done.unionByName(more)
         left = left.join(more.select("key"), "key", "left_anti")
     if config.recursive and members is not None:
