@@ -92,10 +92,11 @@ def _suffixes(docs: DataFrame, core: int) -> DataFrame:
 
 
 def _contexts(docs: DataFrame, core: int, reach: int) -> DataFrame:
-    """(key, doc, pos, right, left): reach word hashes after the core, and before the suffix, nearest first.
+    """(key, doc, pos, room, right, left): reach word hashes after the core, and before the suffix, nearest first.
 
-    docs has doc_id, text and the suffixes' keys and positions. Words that a text doesn't have are numbers of
-    its own, so they equal nothing.
+    docs has doc_id, text and the suffixes' keys and positions, and whether a key is hot. Words that a text
+    doesn't have are numbers of its own, so they equal nothing. room is how many words the text has after the
+    core, up to reach, or -1 where the key is not hot.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,9 +109,11 @@ def _contexts(docs: DataFrame, core: int, reach: int) -> DataFrame:
                 counts = np.diff(lists.offsets.to_numpy())
                 flat = lists.flatten()
                 key, pos = flat.field("key").to_numpy(), flat.field("pos").to_numpy().astype(np.int64)
+                hot = flat.field("hot").to_numpy(zero_copy_only=False)
                 text = np.repeat(np.arange(len(counts)), counts)
                 ids = b.column(0).to_numpy()[text]
                 short = (hashed >> np.uint64(32)).astype(np.uint32)
+                room = np.where(hot, np.minimum(at[text + 1] - at[text] - pos - core, reach), -1).astype(np.int32)
                 sides = []
                 for step in (np.arange(reach) + core, -1 - np.arange(reach)):
                     place = (at[text] + pos)[:, None] + step
@@ -119,9 +122,9 @@ def _contexts(docs: DataFrame, core: int, reach: int) -> DataFrame:
                         own = (mix(ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
                     sides.append(np.where(there, short[np.clip(place, 0, max(len(short) - 1, 0))], own).astype(">u4"))
                 packed = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * reach), len(ids), [None, pa.py_buffer(np.ascontiguousarray(s))]).cast(pa.binary()) for s in sides]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(pos.astype(np.int32)), *packed], ["key", "doc", "pos", "right", "left"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(pos.astype(np.int32)), pa.array(room), *packed], ["key", "doc", "pos", "room", "right", "left"])
 
-    return docs.mapInArrow(run, "key long, doc long, pos int, right binary, left binary")
+    return docs.mapInArrow(run, "key long, doc long, pos int, room int, right binary, left binary")
 
 
 class _Entries:
@@ -129,7 +132,7 @@ class _Entries:
 
     def __init__(self, table: pa.Table, reach: int):
         table = table.combine_chunks()
-        self.key, self.doc, self.pos = (table.column(c).to_numpy() for c in ("key", "doc", "pos"))
+        self.key, self.doc, self.pos, self.room = (table.column(c).to_numpy() for c in ("key", "doc", "pos", "room"))
         self.side = {}
         for c in ("right", "left"):
             data = b"".join(table.column(c).to_pylist())
@@ -156,8 +159,14 @@ def _edge_rows(table: pa.Table) -> list[tuple[int, dict]]:
 
 
 def _matches(e: _Entries, lo: int, hi: int, core: int, min_words: int) -> pa.RecordBatch:
-    """Spans of entries lo to hi that an earlier document has too, from neighbours and each side's earliest entry."""
+    """Spans of entries lo to hi that an earlier document has too, from neighbours and each side's earliest entry.
+
+    Of hot keys' entries also the windows of min_words around the core that none of these spans holds: rows with
+    the window's hash and without a first document.
+    """
     n = len(e.key)
+    spare = min_words - core
+    settled = np.zeros((hi - lo, spare + 1), dtype=bool)  # by how many words of the window lie left of the suffix
     order = np.lexsort((e.pos, e.doc))
     rank = np.empty(n, dtype=np.int64)
     rank[order] = np.arange(n)
@@ -180,13 +189,36 @@ def _matches(e: _Entries, lo: int, hi: int, core: int, min_words: int) -> pa.Rec
             left, right = e.common("left", x, y), core + e.common("right", x, y)
             ok = left + right >= min_words
             x, y, left, right = x[ok], y[ok], left[ok], right[ok]
+            settled[x - lo] |= (np.arange(spare + 1) <= left[:, None]) & (np.arange(spare + 1) >= (min_words - right)[:, None])
             rows.append(np.stack([e.doc[x], e.pos[x] - left, e.pos[x] + right, e.doc[y], e.pos[y] - left], axis=1))
     out = np.unique(np.concatenate(rows), axis=0) if rows else np.zeros((0, 5), np.int64)
     # Of spans alike but for the partner the earliest partner's stays.
     if len(out):
         first = np.concatenate([[True], (out[1:, :3] != out[:-1, :3]).any(axis=1)])
         out = out[first]
-    return pa.RecordBatch.from_arrays([pa.array(out[:, i].astype(np.int64)) for i in range(5)], ["doc", "start", "end", "first_doc", "first_start"])
+    x, taken, hashed = _open_windows(e, own, settled, spare)
+    columns = [pa.array(np.concatenate([out[:, i].astype(np.int64), more])) for i, more in enumerate((e.doc[x], e.pos[x] - taken, e.pos[x] - taken + min_words))]
+    columns += [pa.concat_arrays([pa.array(out[:, i].astype(np.int64)), pa.nulls(len(x), pa.int64())]) for i in (3, 4)]
+    columns.append(pa.concat_arrays([pa.nulls(len(out), pa.int64()), pa.array(hashed.view(np.int64))]))
+    return pa.RecordBatch.from_arrays(columns, ["doc", "start", "end", "first_doc", "first_start", "window"])
+
+
+def _open_windows(e: _Entries, own: np.ndarray, settled: np.ndarray, spare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entry, words left of the suffix, hash) of the windows of hot entries that lie in their text and aren't settled."""
+    hot = e.room[own] >= 0
+    x, settled = own[hot], settled[hot]
+    key = mix(e.key[x].astype(np.int64).view(np.uint64))
+    ahead = {}
+    with np.errstate(over="ignore"):
+        for c in ("left", "right"):
+            h = np.zeros((len(x), spare + 1), dtype=np.uint64)
+            for j in range(spare):
+                h[:, j + 1] = mix(h[:, j] * np.uint64(0x9E3779B97F4A7C15) + e.side[c][x, j] + np.uint64(1))
+            ahead[c] = h
+        taken = np.arange(spare + 1)
+        hashed = mix(key[:, None] + ahead["left"] * np.uint64(0xD6E8FEB86659FD93) + ahead["right"][:, ::-1] * np.uint64(0x9E3779B97F4A7C15) + taken.astype(np.uint64))
+    i, a = np.nonzero(~settled & (taken <= e.pos[x][:, None]) & (spare - taken <= e.room[x][:, None]))
+    return x[i], a, hashed[i, a]
 
 
 def _merge(found: list) -> list[tuple[int, int, int, int]]:
@@ -213,6 +245,11 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     task to task by a few rows each) and the match is extended to the left and right. Matches of min_words or
     more, each within one document, count; overlapping ones are merged.
 
+    A key of at most NEIGHBOURS + 1 entries is so compared in full. Of any other key, each window of min_words
+    around an entry's core that no match holds yet is grouped by its hash, and found in the earliest document
+    that has it. Any passage consists of such windows, and the earliest document's own ones are never held by a
+    match, so nothing is missed whatever the number of entries of a key.
+
     Null, empty and short texts have no passages; rows without doc_id take no part; rows that share a doc_id
     are one document, whose passages are counted in each. Repeats inside one document don't count. Columns of
     docs other than doc_id and text are not read. An empty table gives no rows.
@@ -220,11 +257,11 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     spark = docs.sparkSession
     core = core_words(min_words)
     reach = min_words - core + 1
-    schema = "doc long, start long, end long, first_doc long, first_start long"
+    schema = "doc long, start long, end long, first_doc long, first_start long, window long"
     with Scratch(spark) as scratch:
         found = scratch.table(_suffixes(docs, core))
-        shared = found.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("key")
-        each = found.join(shared, "key").groupBy("doc").agg(F.collect_list(F.struct("key", "pos")).alias("at"))
+        shared = found.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), (F.count("*") > NEIGHBOURS + 1).alias("hot")).where("lo <> hi").select("key", "hot")
+        each = found.join(shared, "key").groupBy("doc").agg(F.collect_list(F.struct("key", "pos", "hot")).alias("at"))
         texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(each, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "at")
         entries = scratch.table(_contexts(texts, core, reach))
         n = entries.count()
@@ -242,7 +279,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 part = part.append_column("part", pa.array([TaskContext.get().partitionId()] * k, pa.int32())).append_column("kind", pa.array([kind for kind, _ in rows], pa.int32()))
                 yield from part.combine_chunks().to_batches()
 
-        kept = ranged.mapInArrow(edges, "key long, doc long, pos int, right binary, left binary, part int, kind int").toArrow()
+        kept = ranged.mapInArrow(edges, "key long, doc long, pos int, room int, right binary, left binary, part int, kind int").toArrow()
         halo = _halos(kept)
 
         def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +291,11 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 lo = before.num_rows if before is not None else 0
                 yield _matches(_Entries(pa.concat_tables([t.cast(own.schema) for t in tables]), reach), lo, lo + own.num_rows, core, min_words)
 
-        spans = ranged.mapInArrow(match, schema).groupBy("doc").agg(F.collect_list(F.struct("start", "end", "first_doc", "first_start")).alias("found"))
+        matched = scratch.table(ranged.mapInArrow(match, schema))
+        left = matched.where("window is not null")
+        least = left.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("_lo"), F.max("doc").alias("_hi")).where("_lo.doc < _hi")
+        more = left.select("window", "doc", "start", "end").join(least, "window").where("_lo.doc < doc").select("doc", "start", "end", F.col("_lo.doc").alias("first_doc"), F.col("_lo.start").alias("first_start"))
+        spans = matched.where("window is null").drop("window").union(more).groupBy("doc").agg(F.collect_list(F.struct("start", "end", "first_doc", "first_start")).alias("found"))
 
         def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -266,7 +307,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def _halos(kept: pa.Table) -> dict[int, tuple[pa.Table | None, pa.Table | None]]:
     """For each partition the entries around it that share its first or last key: the nearest, and the earliest."""
-    columns = ["key", "doc", "pos", "right", "left"]
+    columns = ["key", "doc", "pos", "room", "right", "left"]
     part, kind, key = (kept.column(c).to_pylist() for c in ("part", "kind", "key"))
     doc, pos = kept.column("doc").to_pylist(), kept.column("pos").to_pylist()
     of: dict[int, dict[int, list[int]]] = {}

@@ -293,6 +293,19 @@ def test_passages_on_odd_tables(odd, none):
     assert suffix.drop_passages(odd, found).columns == odd.columns and suffix.drop_passages(odd, found).count() == odd.count()
 
 
+def test_passages_beside_a_hot_core(spark):
+    """Words before boilerplate that two documents alone share, among many that hold the boilerplate."""
+    rng = random.Random(11)
+    fresh = lambda n: " ".join(f"w{rng.randrange(1 << 40)}" for _ in range(n))
+    boiler = fresh(45)
+    rows = [(1000 + i, f"{fresh(12)} {boiler} {fresh(12)}") for i in range(300)]
+    for i in range(40):
+        own = fresh(11)
+        rows += [(2 * i, f"{fresh(12)} {own} {boiler} {fresh(12)}"), (2 * i + 1, f"{fresh(12)} {own} {boiler} {fresh(12)}")]
+    found = suffix.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r.doc_id, r.start_word, r.n_words, r.first_doc_id, r.first_start_word) for r in found} == {(2 * i + 1, 12, 56, 2 * i, 12) for i in range(40)}
+
+
 def test_drop_passages(docs, corpus):
     left = {r.doc_id: r for r in suffix.drop_passages(docs, suffix.repeated_passages(docs)).collect()}
     want = brute_passages(corpus)
