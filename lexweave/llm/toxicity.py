@@ -41,7 +41,7 @@ COST_LEET, COST_DROP, COST_MASK, COST_RUN = -0.5, -0.5, -3.0, -0.7
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _EDGE = ".,;:?!\"'()[]{}…«»“”‘’"
-_SPACED = re.compile(r"(?<![^\W_])[^\W_@$!|+€](?:[ ._\-*~]{1,2}[^\W_]|[ ._\-*~]{1,2}[@$!|+€]){2,}(?![^\W_])")
+_SPACED = re.compile(r"(?<![^\W_])[^\W_@$!|+€](?:[ ._\-*~]{1,3}[^\W_]|[ ._\-*~]{1,3}[@$!|+€]){2,}(?![^\W_])")
 _TOKEN = re.compile(r"\S+")
 
 _IS_LETTER = np.zeros(256, dtype=bool)
@@ -52,10 +52,12 @@ _IS_TAIL = np.zeros(256, dtype=bool)
 _IS_TAIL[[ord(c) for c in "0123456789@$|+"]] = True
 _IS_SEP = np.zeros(256, dtype=bool)
 _IS_SEP[[ord(c) for c in "._-*~'`^/\\"]] = True
-_IS_GAP = _IS_SEP.copy()
-_IS_GAP[32] = True
-_IS_FOREIGN = np.zeros(256, dtype=bool)
-_IS_FOREIGN[[0xCE, 0xCF, 0xD0, 0xD1, 0xEF]] = True
+_IS_GAP = np.zeros(256, dtype=bool)
+_IS_GAP[[ord(c) for c in " ._-*~"]] = True
+_IS_PLAIN = np.zeros(256, dtype=bool)
+_IS_PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_IS_SINGLE = _IS_PLAIN.copy()
+_IS_SINGLE[[ord(c) for c in "@$!|+"]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -203,26 +205,34 @@ def disguised(token: str) -> bool:
 
 
 def suspects(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which texts may hold a disguise, from their bytes; texts that don't are scored as they are."""
+    """Which texts may hold a disguise, from their bytes; texts that don't are scored as they are.
+
+    Of ASCII texts these are the ones that _SPACED or _DISGUISE match; any other text is suspect.
+    """
     n = len(data)
-    if n < 3:
+    if not n:
         return np.zeros(len(at) - 1, dtype=bool)
     letter, low = _IS_LETTER[data], _LOWER[data]
-    single = letter.copy()
-    single[1:] &= ~letter[:-1]
-    single[:-1] &= ~letter[1:]
-    gap = _IS_GAP[data]
-    two = (_IS_STAND[data[:-1]] & letter[1:]) | (letter[:-1] & _IS_TAIL[data[1:]])
-    three = (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]) & letter[:-2] & (data[:-2] < 128)
-    three |= letter[:-2] & _IS_SEP[data[1:-1]] & letter[2:]
-    five = single[:-4] & gap[1:-3] & single[2:-2] & gap[3:-1] & single[4:] if n >= 5 else np.zeros(0, dtype=bool)
-    hit = _IS_FOREIGN[data]
-    for found, size in ((two, 2), (three, 3), (five, 5)):
-        for back in range(1, size):  # a pattern must not run into the next text
-            places = at[1:-1] - back
-            places = places[(places >= 0) & (places < len(found))]
-            found[places] = False
-        hit[: len(found)] |= found
+    hit = data >= 128
+    first = np.zeros(n + 1, dtype=bool)  # a pattern must not run into the next text
+    first[at] = True
+    text = np.cumsum(first[:n])
+    joint = ~first[1:n]
+    hit[:-1] |= joint & ((_IS_STAND[data[:-1]] & letter[1:]) | (letter[:-1] & _IS_TAIL[data[1:]]))
+    same = joint & letter[:-1] & (low[:-1] == low[1:])
+    hit[:-2] |= same[:-1] & same[1:]
+    # Letters with nothing but separators between them.
+    solid = np.flatnonzero(~_IS_SEP[data])
+    i, j = solid[:-1], solid[1:]
+    hit[i[(j - i > 1) & letter[i] & letter[j] & (text[i] == text[j])]] = True
+    # Three single characters with one to three gaps between them.
+    solid = np.flatnonzero(~_IS_GAP[data])
+    near = (np.diff(solid) > 1) & (np.diff(solid) < 5)
+    i, j, k = solid[:-2], solid[1:-1], solid[2:]
+    ok = near[:-1] & near[1:] & _IS_PLAIN[data[i]] & _IS_SINGLE[data[j]] & _IS_SINGLE[data[k]] & (text[i] == text[k])
+    i, k = i[ok], k[ok]
+    apart = (first[i] | ~_IS_PLAIN[data[i - 1]]) & (first[k + 1] | ~_IS_PLAIN[data[np.minimum(k + 1, n - 1)]])
+    hit[i[apart]] = True
     places = np.flatnonzero(hit)
     return np.diff(np.searchsorted(places, at)) > 0
 

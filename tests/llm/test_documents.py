@@ -176,6 +176,22 @@ def test_toxicity_learns_disguises(spark):
     assert [rows[i].predicted for i in (9000, 9001, 9002, 9003)] == [1, 1, 1, 0]
 
 
+def test_disguises_are_suspect():
+    """What the patterns match is decoded; plain texts around don't make a text suspect."""
+    shown = ["m  o  r  o  n", "m - o - r - o - n", "m..o..r..o..n", "m 0 r 0 n", "s c 4 m", "1 d 1 o t", "m o r o n", "mor€n", "id¡ot", "s£ug", "¥ou", "Ùùù", "m._-oron", "$ c u m"]
+    assert toxicity.suspects(*toxicity.as_bytes([t.encode() for t in shown[:-1]])).all()
+    assert not toxicity.suspects(*toxicity.as_bytes([b"", b"m", b" o", b" r o", b"plain words", b"ab", b"b ", b"bb", b"4", b"x"])).any()
+    decoder = toxicity.Decoder(np.zeros((64, 64, 64), dtype=np.float32))
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abA14@$!|+(*?._-~'^/\\ \n#,é€а") for _ in range(rng.randint(0, 9))) for _ in range(30_000)]
+    odd_ = toxicity.suspects(*toxicity.as_bytes([t.encode() for t in texts]))
+    for t, o in zip(texts, odd_, strict=True):
+        assert o or decoder.text(t) == t
+        found = toxicity._SPACED.search(t) or any(toxicity.disguised(w) for w in re.findall(r"\S+", t.lower()))
+        assert o or not found
+        assert not o or found or not t.isascii()
+
+
 # Near duplicates
 
 
