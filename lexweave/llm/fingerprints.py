@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from lexweave.llm.common import cut, mix
+from lexweave.llm.common import Scratch, cut, mix
 
 #: Steps after which the shared random bits of the walk repeat.
 PERIOD = 1 << 12
@@ -24,6 +25,10 @@ GROUP_BYTES = 16 << 20
 #: Characters that walk together.
 BATCH_CHARS = 4 << 20
 EMPTY = np.uint32(0xFFFFFFFF)
+#: Bands of a fingerprint. Fingerprints of at most FEW minima also meet by single slots.
+BANDS, FEW = 32, 8
+#: Members of the largest bucket that is compared whole beside others, of a larger one's block, and of a task of small ones.
+SMALL, BUCKET_BLOCK, TASK_ROWS = 64, 2048, 20_000
 
 _CLASSES = 256
 
@@ -261,21 +266,135 @@ def fingerprints(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
     return both.groupBy("group").applyInArrow(run, SCHEMA)
 
 
-def near_pairs(prints: DataFrame, bands: int = 16, least: float = 0.5) -> DataFrame:
+def _bands(bands: int) -> np.ndarray:
+    """Which slots each band looks at, a row a band: bands of equal width, then each slot alone."""
+    own = np.arange(SLOTS) // (SLOTS // bands)
+    return np.concatenate([own[None] == np.arange(bands)[:, None], np.eye(SLOTS, dtype=bool)])
+
+
+def _alike(prints: np.ndarray, i: np.ndarray, j: np.ndarray, band: np.ndarray, bands: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs (i, j) met in a band are alike and share no earlier band, and their likeness."""
+    a, b = prints[i], prints[j]
+    like = likeness(a, b)
+    at = np.flatnonzero(like >= least)
+    a, b = a[at], b[at]
+    looks = _bands(bands).astype(np.float32)
+    differ, used = (a != b).astype(np.float32) @ looks.T, (a != EMPTY).astype(np.float32) @ looks.T
+    shared = (differ == 0) & (used > 0)
+    few = np.maximum((a != EMPTY).sum(axis=1), (b != EMPTY).sum(axis=1)) <= FEW
+    shared[~few, bands:] = False
+    at = at[shared.argmax(axis=1) == band[at]]
+    return at, like[at]
+
+
+def _links(prints: DataFrame, scratch: Scratch, bands: int, least: float, count: bool) -> tuple[DataFrame, DataFrame]:
+    """Classes (id, class, bits), and their pairs (a, b, likeness) of ids or, if count, (id, links) a task.
+
+    Each band samples SLOTS / bands of the minima. Of two fingerprints at likeness over one half more slots agree
+    than differ, so with bands of two slots some band agrees; at just one half as many agree as differ, and a
+    pair of few minima, which might have each that agrees beside one that differs, also meets by single slots.
+    Small buckets are compared in full many a task; larger ones block against block. A pair counts in
+    the first band that it shares.
+    """
+    cls = scratch.table(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("class")).select(F.xxhash64("fingerprint").alias("id"), "class", F.unhex("fingerprint").alias("bits")))
+    looks = _bands(bands)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 4096):
+                b = whole.slice(k, 4096)
+                p = _as_prints(b.column(1))
+                ids = b.column(0).to_numpy()
+                full = p != EMPTY
+                few = full.sum(axis=1) <= FEW
+                for at, look in enumerate(looks):
+                    some = full[:, look].any(axis=1) & (few | (at < bands))
+                    if some.any():
+                        own = p[some][:, look].astype(np.uint64)
+                        with np.errstate(over="ignore"):
+                            h = np.full(len(own), at + 1, dtype=np.uint64)
+                            for c in range(own.shape[1]):
+                                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + own[:, c])
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(np.full(len(own), at, np.int16)), pa.array(h.view(np.int64))], ["id", "band", "bucket"])
+
+    each = cls.select("id", "bits").mapInArrow(run, "id long, band short, bucket long")
+    sizes = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = scratch.table(each.join(sizes, "bucket"))
+    parts = max(1, math.ceil(members.count() / TASK_ROWS))
+    k = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
+    small = members.where(F.col("n") <= SMALL).select("id", "band", "bucket", F.pmod("bucket", F.lit(parts)).alias("group"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), F.lit(0).alias("mine"))
+    large = members.where(F.col("n") > SMALL).withColumn("k", k).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    large = large.select("id", "band", "bucket", F.col("bucket").alias("group"), F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine")
+    dealt = small.union(large).join(cls.select("id", "bits"), "id")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, band, bucket, lo, hi, mine = (table.column(c).to_numpy() for c in ("id", "band", "bucket", "lo", "hi", "mine"))
+        p = _as_prints(table.column("bits"))
+        found = []
+
+        def hold(i, j, own):
+            at, like = _alike(p, i, j, own, bands, least)
+            found.append((ids[i[at]], ids[j[at]], like))
+
+        if lo[0] < 0:
+            order = np.argsort(bucket, kind="stable")
+            for d in range(1, SMALL):
+                same = np.flatnonzero(bucket[order[d:]] == bucket[order[:-d]]) if d < len(order) else np.zeros(0, np.int64)
+                if not len(same):
+                    break
+                for at in range(0, len(same), 65536):
+                    i, j = order[same[at : at + 65536]], order[same[at : at + 65536] + d]
+                    hold(i, j, band[i])
+        else:
+            x, y = np.flatnonzero(mine == lo[0]), np.flatnonzero(mine == hi[0])
+            used = (p != EMPTY).sum(axis=1)
+            right = np.ascontiguousarray(p[y].T)
+            for at in range(0, len(x), 32):
+                rows = x[at : at + 32]
+                same = np.zeros((len(rows), len(y)), dtype=np.int16)
+                for c in range(SLOTS):
+                    same += (p[rows, c][:, None] == right[c][None]) & (p[rows, c] != EMPTY)[:, None]
+                i, j = np.nonzero(same >= least * np.maximum(used[rows][:, None], used[y][None]))
+                i, j = rows[i], y[j]
+                if lo[0] == hi[0]:
+                    i, j = i[i < j], j[i < j]
+                for part in range(0, len(i), 65536):
+                    hold(i[part : part + 65536], j[part : part + 65536], band[i[part : part + 65536]])
+        a, b, like = (np.concatenate([f[c] for f in found]) if found else np.zeros(0, t) for c, t in enumerate((np.int64, np.int64, float)))
+        if not count:
+            return pa.table({"a": a, "b": b, "likeness": like})
+        own, n = np.unique(np.concatenate([a, b]), return_counts=True)
+        return pa.table({"id": own, "links": n})
+
+    schema = "id long, links long" if count else "a long, b long, likeness double"
+    return cls, dealt.groupBy("group", "lo", "hi").applyInArrow(compare, schema)
+
+
+def _as_prints(bits: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(bits.to_pylist()), dtype=">u4").reshape(-1, SLOTS).astype(np.uint32)
+
+
+def near_pairs(prints: DataFrame, bands: int = BANDS, least: float = 0.5) -> DataFrame:
     """Documents alike by fingerprint, as (class_a, class_b, likeness), classes being the smallest doc_id of equal ones.
 
-    Each band samples SLOTS / bands of the minima; classes that share a sampled band are compared with the
-    smallest of its bucket and the likeness of their whole fingerprints is verified.
+    All pairs of classes whose likeness is least or more; fingerprints without a doc_id are left out.
+    """
+    with Scratch(prints.sparkSession) as scratch:
+        cls, pairs = _links(prints.where("doc_id is not null"), scratch, bands, least, False)
+        a, b = (cls.select(F.col("id").alias(i), F.col("class").alias(f"c{i}")) for i in "ab")
+        return cut(pairs.join(a, "a").join(b, "b").select(F.least("ca", "cb").alias("class_a"), F.greatest("ca", "cb").alias("class_b"), "likeness"))
+
+
+def linked_fingerprints(docs: DataFrame, bands: int = BANDS, least: float = 0.5) -> DataFrame:
+    """fingerprints(docs) with class_id, the smallest doc_id of equal fingerprints, and links, how many other classes are alike.
+
+    class_id is null where no document of the class has a doc_id. An empty text's class has no links.
     """
-    width = 8 * (SLOTS // bands)
-    cls = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("class"))
-    band = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.substring("fingerprint", 1 + i * width, width).alias("bits")) for i in range(bands)]))
-    each = cls.select("class", "fingerprint", band.alias("b")).select("class", "fingerprint", "b.band", "b.bits").where(F.col("bits") != "f" * width)
-    star = each.groupBy("band", "bits").agg(F.min(F.struct("class", "fingerprint")).alias("hub"))
-    pairs = each.join(star, ["band", "bits"]).where("class <> hub.class").select(F.col("hub.class").alias("class_a"), F.col("class").alias("class_b"), F.col("hub.fingerprint").alias("fa"), F.col("fingerprint").alias("fb")).distinct()
-
-    @F.pandas_udf("double")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(likeness(from_text(a.tolist()), from_text(b.tolist())))
-
-    return pairs.select("class_a", "class_b", alike("fa", "fb").alias("likeness")).where(F.col("likeness") >= least)
+    with Scratch(docs.sparkSession) as scratch:
+        prints = scratch.table(fingerprints(docs))
+        cls, parts = _links(prints, scratch, bands, least, True)
+        links = parts.groupBy("id").agg(F.sum("links").alias("links"))
+        named = cls.select("id", F.col("class").alias("class_id")).join(links, "id", "left")
+        found = prints.withColumn("id", F.xxhash64("fingerprint")).join(named, "id")
+        return cut(found.select(*prints.columns, "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links")))

@@ -65,9 +65,9 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lexweave.llm.fingerprints import fingerprints
+    from lexweave.llm.fingerprints import linked_fingerprints
 
-    return fingerprints(documents(spark, sf_dir))
+    return linked_fingerprints(documents(spark, sf_dir))
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

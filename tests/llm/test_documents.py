@@ -453,3 +453,46 @@ def test_fingerprints_of_nothing(none):
 def test_near_pairs(spark, docs):
     pairs = {(r.class_a, r.class_b) for r in fp.near_pairs(fp.fingerprints(docs)).collect()}
     assert (5, 305) in pairs and not any(a == b for a, b in pairs)
+
+
+@pytest.mark.parametrize("small", [64, 3])
+def test_links_are_all_pairs(spark, small, monkeypatch):
+    """Chains, groups of near copies, pairs at the limit and short prints, against all pairs."""
+    monkeypatch.setattr(fp, "SMALL", small)
+    monkeypatch.setattr(fp, "BUCKET_BLOCK", 5)
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 31, (4, 64), dtype=np.uint32)
+    rows = []
+    for i in range(160):
+        p = base[i % 4].copy()
+        p[rng.permutation(64)[: int(rng.integers(0, 40))]] = rng.integers(0, 1 << 31, dtype=np.uint32)
+        rows.append(p)
+    for k in range(1, 5):  # each minimum that agrees stands beside one that differs
+        for side in (0, 1):
+            p = np.full(64, fp.EMPTY, dtype=np.uint32)
+            p[0 : 2 * k : 2], p[1 : 2 * k : 2] = 9000 + k, 100 * k + side
+            rows.append(p)
+    rows = np.stack([*rows, np.full(64, fp.EMPTY, dtype=np.uint32), rows[3]])
+    texts = fp.as_text(rows)
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(t, i)
+    want = {(a, b) for a, b in itertools.combinations(sorted(first.values()), 2) if fp.likeness(rows[a : a + 1], rows[b : b + 1])[0] >= 0.5}
+    prints = spark.createDataFrame(list(enumerate(texts)), "doc_id long, fingerprint string")
+    got = [(r.class_a, r.class_b) for r in fp.near_pairs(prints).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_linked_fingerprints(spark, odd, none):
+    rows = fp.linked_fingerprints(odd).collect()
+    plain = fp.fingerprints(odd).collect()
+    assert sorted(map(str, plain)) == sorted(str(type(plain[0])(**{c: r[c] for c in plain[0].__fields__})) for r in rows)
+    first, prints = {}, {}
+    for r in rows:
+        prints[r.fingerprint] = fp.from_text([r.fingerprint])
+        if r.doc_id is not None:
+            first[r.fingerprint] = min(r.doc_id, first.get(r.fingerprint, r.doc_id))
+    for r in rows:
+        alike = sum(f != r.fingerprint and fp.likeness(p, prints[r.fingerprint])[0] >= 0.5 for f, p in prints.items())
+        assert (r.class_id, r.links) == (first.get(r.fingerprint), alike)
+    assert fp.linked_fingerprints(none).collect() == []
