@@ -38,26 +38,63 @@ def mine_affixes(lexicon: DataFrame, min_support: int = 2, max_rules: int | None
     return rules if max_rules is None else rules.orderBy("kind", "affix", "stem_pron", "word_pron").limit(max_rules)
 
 
+def _text_columns(rules: DataFrame, names: Sequence[str]) -> DataFrame:
+    """rules with each of these columns, empty where it is missing or null."""
+    return rules.withColumns({c: F.coalesce(F.col(c), F.lit("")) if c in rules.columns else F.lit("") for c in names})
+
+
+AFFIX_TEXTS = (
+    "spelling_prefix", "spelling_suffix", "strip_prefix", "strip_suffix", "required_left_context", "required_right_context",
+    "pronunciation_prefix_add", "pronunciation_suffix_add", "pronunciation_prefix_remove", "pronunciation_suffix_remove", "capitalization_class",
+)
+
+
 def apply_affixes(words: DataFrame, literals: DataFrame, rules: DataFrame, min_stem: int = 1) -> DataFrame:
     """(key, rule_id, affix, stem, pronunciation): every affix rule on every word whose stem is stored.
 
-    rules (rule_id, kind, affix, added) are joined on the affix itself, cut off words at each length that occurs.
+    rules have a rule_id and any of AFFIX_TEXTS and min_stem_length (else min_stem), or for one plain affix kind,
+    affix and added. What they strip is joined on itself, cut off words at each pair of lengths that occurs; affix
+    in the result is what was stripped. A rule that strips nothing applies to no word.
     """
-    n = F.char_length("key")
-    lengths = rules.select("kind", F.char_length("affix").alias("m")).distinct()
-    cuts = words.select("key").join(F.broadcast(lengths), n > F.col("m"))  # a row a kind and affix length
-    affix = F.when(F.col("kind") == "suffix", F.substring("key", n - F.col("m") + 1, F.col("m"))).otherwise(F.substring("key", F.lit(1), F.col("m")))
-    stem = F.when(F.col("kind") == "suffix", F.substring("key", F.lit(1), n - F.col("m"))).otherwise(F.substring("key", F.col("m") + 1, n))
-    cuts = cuts.select("key", "kind", affix.alias("affix"), stem.alias("stem")).where(F.char_length("stem") >= min_stem)
-    found = cuts.join(rules, ["kind", "affix"]).join(literals.select(F.col("key").alias("stem"), "variants"), "stem")
-    made = F.transform("variants", lambda v: F.when(F.col("kind") == "suffix", F.concat(v, F.col("added"))).otherwise(F.concat(F.col("added"), v)))
-    return found.select("key", "rule_id", "affix", "stem", made.alias("pronunciation"))
+    if "kind" in rules.columns:
+        end, start = F.col("kind") == "suffix", F.col("kind") == "prefix"
+        plain = {"strip_suffix": (end, "affix"), "strip_prefix": (start, "affix"), "pronunciation_suffix_add": (end, "added"), "pronunciation_prefix_add": (start, "added")}
+        rules = rules.withColumns({c: F.coalesce(F.when(is_, F.col(v)), F.col(c) if c in rules.columns else F.lit("")) for c, (is_, v) in plain.items()})
+    rules = _text_columns(rules, AFFIX_TEXTS)
+    rules = rules.select("rule_id", *AFFIX_TEXTS, (F.coalesce("min_stem_length", F.lit(min_stem)) if "min_stem_length" in rules.columns else F.lit(min_stem)).alias("min_stem_length"))
+    n, size = F.char_length("key"), F.char_length
+    lengths = rules.select(size("strip_prefix").alias("i"), size("strip_suffix").alias("j")).distinct()
+    cuts = words.select("key").join(F.broadcast(lengths), (n >= F.col("i")) & (n >= F.col("j")))  # a row a pair of lengths
+    ends = F.substring("key", F.lit(1), F.col("i")).alias("strip_prefix"), F.substring("key", n - F.col("j") + 1, F.col("j")).alias("strip_suffix")
+    cuts = cuts.select("key", *ends, F.substring("key", F.col("i") + 1, F.greatest(n - F.col("i") - F.col("j"), F.lit(0))).alias("stem")).where(size("stem") < n)
+    head = F.substring("key", 1, 1)
+    upper, lower = (F.col("key") == F.upper("key")) & (F.col("key") != F.lower("key")), (F.col("key") == F.lower("key")) & (F.col("key") != F.upper("key"))
+    case = F.when(upper, "upper").when((head == F.upper(head)) & (head != F.lower(head)), "initial-upper").when(lower, "lower").otherwise("mixed")
+    ok = F.startswith(F.col("key"), F.col("spelling_prefix")) & F.endswith(F.col("key"), F.col("spelling_suffix")) & (size("stem") >= F.col("min_stem_length"))
+    ok &= F.startswith(F.col("stem"), F.col("required_left_context")) & F.endswith(F.col("stem"), F.col("required_right_context"))
+    ok &= (F.col("capitalization_class") == "") | (F.col("capitalization_class") == case)
+    found = cuts.join(rules, ["strip_prefix", "strip_suffix"]).where(ok).join(literals.select(F.col("key").alias("stem"), "variants"), "stem")
+
+    def made(v: Column) -> Column:
+        a, b = F.col("pronunciation_prefix_remove"), F.col("pronunciation_suffix_remove")
+        v = F.when(v.startswith(a), F.substring(v, size(a) + 1, size(v))).otherwise(v)
+        v = F.when(v.endswith(b), F.substring(v, F.lit(1), size(v) - size(b))).otherwise(v)
+        return F.concat("pronunciation_prefix_add", v, "pronunciation_suffix_add")
+
+    return found.select("key", "rule_id", F.concat("strip_prefix", "strip_suffix").alias("affix"), "stem", F.transform("variants", made).alias("pronunciation"))
 
 
 def apply_rewrites(candidates: DataFrame, rules: DataFrame) -> DataFrame:
-    """candidates (key, pronunciation) by rules (operation, contexts, pattern, replacement): the first match rewritten."""
+    """candidates (key, pronunciation, stage if known) by rules (operation, contexts, pattern, replacement): the first match rewritten.
+
+    A rule's spelling_left, spelling_right, pronunciation_left and pronunciation_right must be in the word or its
+    pronunciation (missing or null: none needed), and its source_stage, unless null, be the candidate's stage.
+    """
+    texts = ("spelling_left", "spelling_right", "pronunciation_left", "pronunciation_right", "pattern", "replacement")
+    rules = _text_columns(rules, texts).select("rule_id", "operation", *texts, (F.col("source_stage") if "source_stage" in rules.columns else F.lit(None).cast("string")).alias("source_stage"))
     p, pat = F.col("pronunciation"), F.col("pattern")
-    ok = F.contains("key", "spelling_left") & F.contains(p, F.col("pronunciation_left")) & (pat != "") & F.contains(p, pat)
+    ok = F.contains(F.col("key"), F.col("spelling_left")) & F.contains(F.col("key"), F.col("spelling_right")) & F.contains(p, F.col("pronunciation_left")) & F.contains(p, F.col("pronunciation_right")) & (pat != "") & F.contains(p, pat)
+    ok &= F.col("source_stage").isNull() | (F.col("source_stage") == (F.col("stage") if "stage" in candidates.columns else F.lit(None).cast("string")))
     new = F.when(F.col("operation") == "insert", F.concat(pat, F.col("replacement"))).when(F.col("operation") == "delete", F.lit("")).otherwise(F.col("replacement"))
     place = F.expr("locate(pattern, pronunciation)")
     found = candidates.join(F.broadcast(rules), ok)

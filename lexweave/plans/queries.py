@@ -519,6 +519,38 @@ def rewrite_apply(spark, d):
     return models.apply_rewrites(c, rules).select("key", "pattern", F.col("rewritten").alias("pron"))
 
 
+_AFFIXES = [(0, "ción", "", "", "", "lower", "k", "", "", ""), (1, "", "mente", "a", "", "", "", "mente", "", ""), (2, "ción", "ll", "", "", "", "k", "j", "", "o"), (3, "", "ar", "", "o", "initial-upper", "", "ar", "ˈ", "")]
+_REWRITES = [(0, "replace", "a", "o", "", "", "ˈ", "ˌ", None), (1, "delete", "", "", "", "s", "ˌ", "", "even"), (2, "insert", "", "z", "a", "", "r", "r", "odd")]
+
+
+@query(
+    "affix_contexts",
+    _with(_TOK, _LEX, _ES)
+    + "SELECT w.key, r.id AS rule_id, s.key AS stem, pp || CASE WHEN rs <> '' AND ends_with(CASE WHEN rp <> '' AND starts_with(s.pron, rp) THEN substr(s.pron, length(rp) + 1) ELSE s.pron END, rs) THEN left(CASE WHEN rp <> '' AND starts_with(s.pron, rp) THEN substr(s.pron, length(rp) + 1) ELSE s.pron END, length(CASE WHEN rp <> '' AND starts_with(s.pron, rp) THEN substr(s.pron, length(rp) + 1) ELSE s.pron END) - length(rs)) WHEN rp <> '' AND starts_with(s.pron, rp) THEN substr(s.pron, length(rp) + 1) ELSE s.pron END || ps AS pron FROM ke w, (VALUES "
+    + ", ".join("(" + ", ".join(map(repr, r)) + ")" for r in _AFFIXES)
+    + ") AS r(id, pre, suf, lc, rc, cap, pp, ps, rp, rs) JOIN ke s ON s.key = substr(w.key, length(pre) + 1, length(w.key) - length(pre) - length(suf)) WHERE starts_with(w.key, pre) AND ends_with(w.key, suf) AND length(w.key) > length(pre) + length(suf) AND starts_with(s.key, lc) AND ends_with(s.key, rc) AND (cap = '' OR cap = CASE WHEN w.key = upper(w.key) AND w.key <> lower(w.key) THEN 'upper' WHEN left(w.key, 1) = upper(left(w.key, 1)) AND left(w.key, 1) <> lower(left(w.key, 1)) THEN 'initial-upper' WHEN w.key = lower(w.key) AND w.key <> upper(w.key) THEN 'lower' ELSE 'mixed' END)",
+)
+def affix_contexts(spark, d):
+    t = D.lex(spark, d, "es")
+    names = ("strip_prefix", "strip_suffix", "required_left_context", "required_right_context", "capitalization_class", "pronunciation_prefix_add", "pronunciation_suffix_add", "pronunciation_prefix_remove", "pronunciation_suffix_remove")
+    rules = spark.createDataFrame(_AFFIXES, "rule_id int, " + ", ".join(f"{c} string" for c in names))
+    return models.apply_affixes(t, t, rules).select("key", "rule_id", "stem", F.array_join("pronunciation", "|").alias("pron"))
+
+
+@query(
+    "rewrite_contexts",
+    _with(_TOK, _LEX, _ES)
+    + "SELECT key, id AS rule_id, left(pron, strpos(pron, pat) - 1) || CASE op WHEN 'insert' THEN pat || new WHEN 'delete' THEN '' ELSE new END || substr(pron, strpos(pron, pat) + length(pat)) AS pron FROM ke, (VALUES "
+    + ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in r) + ")" for r in _REWRITES)
+    + ") AS r(id, op, sl, sr, pl, pr, pat, new, stage) WHERE contains(key, sl) AND contains(key, sr) AND contains(pron, pl) AND contains(pron, pr) AND contains(pron, pat) AND (stage IS NULL OR stage = CASE WHEN length(key) % 2 = 0 THEN 'even' ELSE 'odd' END)",
+)
+def rewrite_contexts(spark, d):
+    rules = spark.createDataFrame(_REWRITES, "rule_id int, operation string, spelling_left string, spelling_right string, pronunciation_left string, pronunciation_right string, pattern string, replacement string, source_stage string")
+    stage = F.when(F.char_length("key") % 2 == 0, "even").otherwise("odd")
+    c = D.lex(spark, d, "es").select("key", F.element_at("variants", 1).alias("pronunciation"), stage.alias("stage"))
+    return models.apply_rewrites(c, rules).select("key", "rule_id", F.col("rewritten").alias("pron"))
+
+
 _CHARS = "pairs AS (SELECT key, lower(pron) AS p FROM lex WHERE lang = 'de' AND length(key) = length(pron)), ch AS (SELECT substr(key, i, 1) AS c, substr(p, i, 1) AS o FROM pairs, unnest(range(1, length(key) + 1)) AS u(i)), cnt AS (SELECT c, o, count(*) AS n FROM ch GROUP BY c, o), best AS (SELECT c, arg_max(o, (n, o)) AS o FROM cnt GROUP BY c)"
 
 

@@ -258,6 +258,30 @@ def test_affixes_and_rewrites(spark):
     assert sorted((r.key, r.rewritten) for r in models.apply_rewrites(c, rules).collect()) == [("kinder", "kr"), ("kinder", "krxr")]
 
 
+def test_affix_preconditions(spark):
+    """Each field of a rule by a word that it lets through and one that it refuses."""
+    t = pairs(spark, ("bind", "xbindr"), ("unbinden", "p"), ("Unbinden", "q"), ("rebind", "r"), ("ab", "z"), ("abab", "w"))
+    rows = [
+        {"strip_prefix": "un", "strip_suffix": "en", "pronunciation_prefix_add": "<", "pronunciation_suffix_add": ">", "pronunciation_prefix_remove": "x", "pronunciation_suffix_remove": "r", "capitalization_class": "lower"},
+        {"strip_prefix": "Un", "strip_suffix": "en", "capitalization_class": "initial-upper", "required_left_context": "b", "required_right_context": "nd"},
+        {"strip_prefix": "re", "required_left_context": "c"}, {"strip_prefix": "re", "required_right_context": "x"}, {"strip_prefix": "re", "min_stem_length": 5},
+        {"strip_prefix": "re", "spelling_suffix": "d", "spelling_prefix": "reb"}, {"strip_prefix": "re", "spelling_suffix": "x"}, {"capitalization_class": "lower"}, {"strip_suffix": "ab"}, {"strip_prefix": "aba", "strip_suffix": "bab", "min_stem_length": 0},
+    ]
+    names = [*models.AFFIX_TEXTS, "min_stem_length"]
+    rules = spark.createDataFrame([(i, *(r.get(c) for c in names)) for i, r in enumerate(rows)], "rule_id int, " + ", ".join(f"{c} {'int' if c == names[-1] else 'string'}" for c in names))
+    got = sorted((r.rule_id, r.key, r.stem, r.pronunciation[0]) for r in models.apply_affixes(t, t, rules).collect())
+    assert got == [(0, "unbinden", "bind", "<bind>"), (1, "Unbinden", "bind", "xbindr"), (5, "rebind", "bind", "xbindr"), (8, "abab", "ab", "z")]
+
+
+def test_rewrite_preconditions(spark):
+    schema = "rule_id int, operation string, spelling_left string, spelling_right string, pronunciation_left string, pronunciation_right string, pattern string, replacement string, source_stage string"
+    rows = [("", "er", "", "", None), ("", "zz", "", "", None), ("", "", "", "k", None), ("", "", "", "q", None), ("", "", "", "", "cart"), ("", "", "", "", "tree"), (None, None, None, None, None)]
+    rules = spark.createDataFrame([(i, "replace", a, b, c, e, "r", "x", s) for i, (a, b, c, e, s) in enumerate(rows)], schema)
+    c = spark.createDataFrame([("kinder", "krr", "cart")], "key string, pronunciation string, stage string")
+    assert sorted((r.rule_id, r.rewritten) for r in models.apply_rewrites(c, rules).collect()) == [(i, "kxr") for i in (0, 2, 4, 6)]
+    assert sorted(r.rule_id for r in models.apply_rewrites(c.drop("stage"), rules).collect()) == [0, 2, 6]
+
+
 # Harness
 
 
