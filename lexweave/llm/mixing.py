@@ -68,13 +68,29 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     """The mixed corpus itself: every column of docs, a row for each time a document is taken.
 
     The last row of a document may be a prefix of it, ending with the word at which its source's budget ends;
-    n_chars, if there, follows the text. Documents without words are kept once. Rows equal in doc_id and text
-    are taken alike, as often as the least taken of them.
+    n_chars, if there, follows the text. Documents without words are kept once. Rows equal in doc_id, source and
+    text share what the plan takes of them, in some order: where a budget ends among them, which is in one group a
+    source at most, the rows are numbered and the first ones take more.
     """
-    plan = mix_plan(docs, weights, share, cap, seed).select(F.col("doc_id").alias("__mix_id"), F.col("_tie").alias("__mix_tie"), F.col("size").alias("__mix_size"), F.col("taken").alias("__mix_taken"))
-    plan = plan.groupBy("__mix_id", "__mix_tie").agg(F.max("__mix_size").alias("__mix_size"), F.sort_array(F.collect_list("__mix_taken")).alias("__mix_each"))
+    plan = mix_plan(docs, weights, share, cap, seed).select(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("_tie").alias("__mix_tie"), F.col("size").alias("__mix_size"), F.col("taken").alias("__mix_taken"))
+    group = ["__mix_id", "__mix_source", "__mix_tie"]
+    plan = plan.groupBy(*group, "__mix_taken").agg(F.max("__mix_size").alias("__mix_size"), F.count("*").alias("__mix_n"))
+    # A group takes at most three amounts: before its source's cut, at it and after it.
+    plan = cut(plan.groupBy(*group).agg(F.max("__mix_size").alias("__mix_size"), F.sort_array(F.collect_list(F.struct("__mix_taken", "__mix_n")), False).alias("__mix_each")))
     keyed = docs.withColumn("__mix_text", F.xxhash64("text"))
-    keyed = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("__mix_id")) & (F.col("__mix_text") == F.col("__mix_tie"))).withColumn("__mix_taken", F.element_at("__mix_each", 1))
+    same = F.col("doc_id").eqNullSafe(F.col("__mix_id")) & F.col("source").eqNullSafe(F.col("__mix_source")) & (F.col("__mix_text") == F.col("__mix_tie"))
+    alike = keyed.join(plan.where(F.size("__mix_each") == 1), same).withColumn("__mix_taken", F.col("__mix_each")[0]["__mix_taken"])
+    parted = cut(keyed.join(F.broadcast(plan.where(F.size("__mix_each") > 1)), same))
+    rows = parted.count()
+    if rows:
+        # Row ids hold as the rows are kept; null keys would be lost where sums are joined.
+        numbered = cut(parted.withColumn("__mix_row", F.monotonically_increasing_id())).withColumn("__mix_h", hash60(F.col("__mix_row"))).withColumn("__mix_key", F.xxhash64(*group))
+        numbered = running_sum(numbered, ["__mix_key"], "__mix_h", ["__mix_row"], F.lit(1), "__mix_number", rows)
+        n, taken = (lambda i: F.coalesce(F.get("__mix_each", F.lit(i))["__mix_n"], F.lit(0))), (lambda i: F.get("__mix_each", F.lit(i))["__mix_taken"])
+        which = F.when(F.col("__mix_number") < n(0), taken(0)).when(F.col("__mix_number") < n(0) + n(1), taken(1)).otherwise(taken(2))
+        keyed = alike.unionByName(numbered.withColumn("__mix_taken", which).select(*alike.columns))
+    else:
+        keyed = alike
     whole = F.when(F.col("__mix_size") > 0, F.floor(F.col("__mix_taken") / F.col("__mix_size"))).otherwise(F.lit(1)).cast("int")
     part = (F.col("__mix_taken") - whole * F.col("__mix_size")).cast("int")
     takes = F.concat(F.array_repeat(F.lit(-1), whole), F.when((F.col("__mix_size") > 0) & (part > 0), F.array(part)).otherwise(F.array().cast("array<int>")))

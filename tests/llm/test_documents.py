@@ -70,6 +70,19 @@ def test_mixed_corpus(docs):
     assert all(texts[r.doc_id].startswith(r.text) and r.n_chars == len(r.text) for r in mixed)
 
 
+def test_mix_within_equal_rows(spark):
+    """A budget that ends among equal rows without doc_id is used up to the word; sources don't mix."""
+    rows = [(None, "a b c d e", "x")] * 101 + [(None, "a b c d e", "y")] * 40 + [(None, "a b c d e", None)] * 7
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    plan = mixing.mix_plan(docs).collect()
+    want, got = {}, {}
+    for r in plan:
+        want[r.source] = want.get(r.source, 0) + r.taken
+    for r in mixing.mix_sources(docs).collect():
+        got[r.source] = got.get(r.source, 0) + len(WORD.findall(r.text))
+    assert got == want and len({r.taken for r in plan if r.source == "x"}) > 1
+
+
 def test_mix_odd_tables(odd, none):
     rows = mixing.mix_plan(odd).collect()
     assert len(rows) == odd.count() and all(r.taken == 0 for r in rows if r.doc_id in (1000, 1001, 1002))
