@@ -74,6 +74,8 @@ class EliasFano:
             found = np.flatnonzero(np.unpackbits(self.high[byte : byte + size], bitorder="little")[skip:])
             if len(found) > left:
                 break
+            if byte + size >= len(self.high):
+                raise ValueError("a mark of the select structure doesn't match its bits")
             size *= 2
         high = start + int(found[left]) - i
         low = 0
@@ -126,6 +128,14 @@ class TokenFile:
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
 
+def boundaries(f: TokenFile) -> np.ndarray:
+    """Where each document of a file ends, by select; ValueError if that differs from decoding all at once."""
+    ends = np.array([f.ends.select(i) for i in range(f.count)], dtype=np.int64)
+    if not np.array_equal(ends, f.ends.values()):
+        raise ValueError("a token file's select structure doesn't match its boundaries")
+    return ends
+
+
 def _write(folder: str, name: str, content: bytes) -> None:
     """Put a file under its final name in one step, so that a repeated or lost task leaves a whole file or none."""
     fs, base = pafs.FileSystem.from_uri(folder)
@@ -178,7 +188,7 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
         for b in batches:
             for name, content in zip(b.column(0), b.column(1), strict=True):
                 f = TokenFile(content.as_buffer())
-                ends = f.ends.values()
+                ends = boundaries(f)
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 crcs = [zlib.crc32(f.ids[a:e].astype("<u4").data) for a, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * f.count), pa.array(f.doc_ids(), pa.int64()), pa.array(starts), pa.array(ends - starts), pa.array(crcs, pa.int64())], ["name", "doc_id", "local", "n_tokens", "ids_crc32"])

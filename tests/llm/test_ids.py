@@ -9,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from lexweave.llm.packing import SumOfSquares, pack, packed_ids
-from lexweave.llm.tokenfile import EliasFano, TokenFile, dump_file, round_trip, write_tokens
+from lexweave.llm.tokenfile import EliasFano, TokenFile, dump_file, read_tokens, round_trip, write_tokens
 from lexweave.llm.tokens import Encoder
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -68,6 +68,18 @@ def test_round_trip(spark, odd):
         start += len(ids)
 
 
+def test_broken_marks_show(spark, docs, tmp_path):
+    manifest = write_tokens(docs, f"file://{tmp_path}/t", public_tokenizers.path("word_bpe_49k.json"))
+    assert read_tokens(spark, f"file://{tmp_path}/t", manifest).count() == docs.count()
+    (path,) = (tmp_path / "t").glob("tokens-*.lwt")
+    content = bytearray(path.read_bytes())
+    f = TokenFile(bytes(content))
+    content[len(content) - f.ids.nbytes - f.ends.marks.nbytes] ^= 64
+    path.write_bytes(bytes(content))
+    with pytest.raises(Exception, match="select structure|IndexError|ValueError"):
+        read_tokens(spark, f"file://{tmp_path}/t", manifest).count()
+
+
 def test_round_trip_of_nothing(none):
     assert round_trip(none, WORD).collect() == []
 
