@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from lexweave.llm.common import cut
-from lexweave.llm.tokens import chunks, encoder
+from lexweave.llm.tokens import encoder, text_runs
 
 WINDOW = 2048
 #: Documents that one task places.
@@ -62,10 +62,9 @@ def tokenised(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, "byte")
         for b in batches:
-            texts = b.column(1).cast(pa.binary()).to_pylist()
             crcs, sizes = [], []
-            for i, j in chunks(texts):
-                ids, at = enc.encode(texts[i:j])
+            for _, _, texts in text_runs(b.column(1)):
+                ids, at = enc.encode(texts)
                 for a, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                     sizes.append(e - a)
                     crcs.append([zlib.crc32(ids[k : min(k + window, e)].data) for k in range(a, e, window)])
@@ -115,9 +114,8 @@ def packed_ids(docs: DataFrame, pieces: DataFrame, path: str, window: int = WIND
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, "byte")
         for b in batches:
-            texts = b.column(1).cast(pa.binary()).to_pylist()
-            for i, j in chunks(texts):
-                ids, at = enc.encode(texts[i:j])
+            for i, j, texts in text_runs(b.column(1)):
+                ids, at = enc.encode(texts)
                 rows = [(d, k - a, ids[k : min(k + window, e)].tolist()) for d, a, e in zip(b.column(0)[i:j].to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True) for k in range(a, e, window)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], ["doc_id", "start", "ids"])
 

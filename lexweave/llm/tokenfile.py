@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from lexweave.llm.common import cut, shared_dir
-from lexweave.llm.tokens import chunks, encoder
+from lexweave.llm.tokens import encoder, text_runs
 
 MAGIC = b"LWTOKEN1"
 #: A set bit in so many has its place noted, so that a select reads a short run of the upper bits.
@@ -163,9 +163,8 @@ def write_tokens(docs: DataFrame, folder: str, path: str, kind: str = "word", fi
         docs_, parts, ends, used = [], [], [], 0
         for b in batches:
             docs_ += b.column(0).to_pylist()
-            texts = b.column(1).cast(pa.binary()).to_pylist()
-            for i, j in chunks(texts):
-                ids, at = enc.encode(texts[i:j])
+            for _, _, texts in text_runs(b.column(1)):
+                ids, at = enc.encode(texts)
                 parts.append(ids.astype(np.uint16) if len(ids) and ids.max() <= 0xFFFF else ids)
                 ends.append(at[1:] + used)
                 used += len(ids)

@@ -11,13 +11,15 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from lexweave.llm.common import warm
 
 #: Id put after each document.
 END_ID = 1
-#: Pieces a worker remembers.
-MAX_PIECES = 1_200_000
+#: Bytes of the pieces a worker remembers, by an estimate of PIECE_BYTES a piece (dictionary entry, key, place, count)
+#: and the key's and the ids' own.
+MAX_BYTES, PIECE_BYTES = 72 << 20, 130
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"([{_LETTERS}]+)([.,;:!?]*)")
@@ -43,41 +45,77 @@ def _byte_letters() -> list[str]:
 class Encoder:
     """Ids of texts. kind `word`: lower-cased words with word ends; kind `byte`: byte-level with leading spaces."""
 
-    def __init__(self, path: str, kind: str, max_pieces: int = MAX_PIECES):
+    def __init__(self, path: str, kind: str, max_bytes: int = MAX_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
-        self.model, self.kind, self.max_pieces = self.whole.model, kind, max_pieces
-        self.letters = _byte_letters()
-        self._reset()
-
-    def _reset(self) -> None:
-        self.at: dict[bytes, int] = {}
+        self.model, self.kind, self.max_bytes = self.whole.model, kind, max_bytes
+        self.letters = dict(enumerate(_byte_letters()))
         self.parts: dict[str, list[int]] = {}
-        self.starts, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
+        self.at: dict[bytes, int] = {}
+        self.starts, self.lengths, self.met = (np.zeros(0, np.int32) for _ in range(3))
+        self.flat, self.used, self.bytes = np.zeros(0, np.uint32), 0, 0
+        self.new: list[list[int]] = [[END_ID]]  # ids of pieces not in the arrays yet; the first piece stands for END_ID
+        self.at[b" end"] = 0
+
+    def _keep_new(self) -> None:
+        """Put new pieces' ids into the arrays."""
+        if self.new:
+            n, lengths = len(self.at), np.fromiter(map(len, self.new), np.int32, len(self.new))
+            ids = np.fromiter((x for own in self.new for x in own), np.uint32, int(lengths.sum()))
+            if n > len(self.starts):
+                more = np.zeros(max(1 << 12, n - len(self.starts), len(self.starts) // 4), np.int32)
+                self.starts, self.lengths, self.met = (np.concatenate([x, more]) for x in (self.starts, self.lengths, self.met))
+            if self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(max(1 << 14, self.used + len(ids) - len(self.flat), len(self.flat) // 4), np.uint32)])
+            first = n - len(self.new)
+            ends = np.cumsum(lengths)
+            self.starts[first:n], self.lengths[first:n], self.met[first:n] = self.used + ends - lengths, lengths, 0
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+            self.new = []
+
+    def _forget(self) -> None:
+        """Let go of the pieces met once since the last time; the others' counts are halved."""
+        n = len(self.at)
+        keep = self.met[:n] > 1
+        if keep.sum() * 2 > n:  # too many are met again: the more frequent half stays
+            keep = self.met[:n] > np.median(self.met[:n])
+        keep[0] = True
+        starts, lengths = self.starts[:n][keep], self.lengths[:n][keep]
+        ends = np.cumsum(lengths)
+        self.used = int(ends[-1])
+        self.flat = self.flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(self.used)]
+        self.starts, self.lengths, self.met = (ends - lengths).astype(np.int32), lengths, self.met[:n][keep] // 2
+        kept = [p for p, k in zip(self.at, keep.tolist(), strict=True) if k]
+        self.at = dict(zip(kept, range(len(kept)), strict=True))
+        self.bytes = sum(map(len, kept)) + PIECE_BYTES * len(kept) + 4 * self.used
 
     def _library(self, text: str) -> list[int]:
         return self.whole.encode(text, add_special_tokens=False).ids
 
     def _part(self, text: str) -> list[int]:
         """One pre-token's ids, straight from the library's merge model."""
+        if len(text) > 2:
+            return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
         found = self.parts.get(text)
         if found is None:
-            found = [t.id for t in self.model.tokenize("".join(self.letters[b] for b in text.encode()))]
-            if len(text) < 3:
-                self.parts[text] = found
+            found = self.parts[text] = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
         return found
 
     def _piece(self, piece: bytes) -> list[int]:
         if self.kind == "word":
+            if piece.isalpha():  # ASCII letters alone, which stand for themselves
+                return [t.id for t in self.model.tokenize(piece.lower().decode("ascii"))]
             text = piece.decode("utf-8", "replace")
             m = _PLAIN.fullmatch(text)
             if not m:
                 return self._library(text)
             return self._part(m[1].lower()) + (self._part(m[2]) if m[2] else [])
+        if piece.isalpha():
+            return [t.id for t in self.model.tokenize(self.letters[32] + piece.decode("ascii"))]
         lead, text = " ", piece.decode("utf-8", "replace")
         head: list[int] = []
         if text[:1] in "\r\n":
@@ -89,18 +127,9 @@ class Encoder:
 
     def _add(self, piece: bytes) -> int:
         ids = self._piece(piece)
-        return self._store(piece, ids)
-
-    def _store(self, key: bytes | None, ids: list[int]) -> int:
-        k, end = len(self.at), self.used + len(ids)
-        if k >= len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        while end > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : end] = ids
-        self.starts[k], self.lengths[k] = self.used, len(ids)
-        self.used = end
-        self.at[key] = k
+        k = self.at[piece] = len(self.at)
+        self.new.append(ids)
+        self.bytes += PIECE_BYTES + len(piece) + 4 * len(ids)
         return k
 
     def _pieces(self, text: bytes) -> list[bytes] | None:
@@ -117,41 +146,40 @@ class Encoder:
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each followed by END_ID, and the offsets of the texts; null is empty."""
-        if len(self.at) > self.max_pieces:
-            self._reset()
-        get, found, counts, whole = self.at.get, [], [], {}
-        for i, text in enumerate(texts):
+        if self.bytes > self.max_bytes:
+            self._forget()
+        get, found, counts, whole = self.at.get, [], [], []
+        for text in texts:
             pieces = self._pieces(text or b"")
             if pieces is None:
-                whole[i] = np.array(self._library(text.decode("utf-8", "replace")), dtype=np.uint32)
-                pieces = []
-            own = list(map(get, pieces))
-            if None in own:
-                for j, k in enumerate(own):
-                    if k is None:
-                        k = get(pieces[j])
-                        own[j] = self._add(pieces[j]) if k is None else k
+                whole.append(self._library(text.decode("utf-8", "replace")))
+                own = [-len(whole)]
+            else:
+                own = list(map(get, pieces))
+                if None in own:
+                    for j, k in enumerate(own):
+                        if k is None:
+                            k = get(pieces[j])
+                            own[j] = self._add(pieces[j]) if k is None else k
+            own.append(0)
             found += own
             counts.append(len(own))
-        picked = np.array(found, dtype=np.int64)
-        lengths = self.lengths[picked]
-        # A piece's ids, and END_ID after the last of each text: texts are laid out with one place more.
-        ends = np.cumsum(lengths)
-        last = np.cumsum(counts)
-        sums = np.concatenate([[0], ends])[last] if len(picked) else np.zeros(len(counts), np.int64)
-        sizes = np.diff(np.concatenate([[0], sums]))
-        ids = self.flat[np.repeat(self.starts[picked] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        for i, own in whole.items():
-            sizes[i] = len(own)
-        at = np.concatenate([[0], np.cumsum(sizes + 1)]).astype(np.int64)
-        out = np.full(int(at[-1]), END_ID, dtype=np.uint32)
-        inside = np.ones(len(out), dtype=bool)
-        inside[at[1:] - 1] = False
-        for i, own in whole.items():
-            out[at[i] : at[i] + len(own)] = own
-            inside[at[i] : at[i] + len(own)] = False
-        out[inside] = ids
-        return out, at
+        self._keep_new()
+        picked = np.array(found, dtype=np.int32)
+        known = np.maximum(picked, 0)
+        flat, starts, lengths = self.flat, self.starts[known], self.lengths[known]
+        if whole:
+            # Their ids stand after the pieces', for this call.
+            sizes = np.array([len(w) for w in whole])
+            flat = np.concatenate([flat[: self.used], *(np.array(w, dtype=np.uint32) for w in whole)])
+            at = np.flatnonzero(picked < 0)
+            lengths[at], starts[at] = sizes, self.used + np.cumsum(sizes) - sizes
+        self.met[: len(self.at)] += np.bincount(known, minlength=len(self.at)).astype(np.int32)
+        ends = np.cumsum(lengths, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+        ids = flat[np.repeat((starts - (ends - lengths)).astype(kind), lengths) + np.arange(total, dtype=kind)]
+        return ids, np.concatenate([[0], ends[np.cumsum(counts) - 1]] if counts else [[0]]).astype(np.int64)
 
 
 def encoder(path: str, kind: str) -> Encoder:
@@ -159,7 +187,7 @@ def encoder(path: str, kind: str) -> Encoder:
     return warm(("encoder", path, kind), lambda: Encoder(path, kind))
 
 
-def chunks(texts: list[bytes | None], limit: int = 1 << 21):
+def chunks(texts: list[bytes | None], limit: int = 1 << 20):
     """Runs of texts of about limit bytes."""
     a = size = 0
     for i, x in enumerate(texts):
@@ -169,3 +197,12 @@ def chunks(texts: list[bytes | None], limit: int = 1 << 21):
             a, size = i + 1, 0
     if a < len(texts):
         yield a, len(texts)
+
+
+def text_runs(column: pa.Array, rows: int = 512):
+    """(first row, row after the last, texts) of runs of a column of texts, as bytes; few texts are held at a time."""
+    column = column.cast(pa.binary())
+    for k in range(0, len(column), rows):
+        texts = column.slice(k, rows).to_pylist()
+        for i, j in chunks(texts):
+            yield k + i, k + j, texts[i:j]
