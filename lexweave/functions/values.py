@@ -112,10 +112,10 @@ def phoneme_class(c: Column) -> Column:
 
 
 def capitalization_class(c: Column) -> Column:
-    head, rest = F.substring(c, 1, 1), F.substring(c, F.lit(2), F.char_length(c))
+    head = F.substring(c, 1, 1)
     upper = (c == F.upper(c)) & (c != F.lower(c))
     lower = (c == F.lower(c)) & (c != F.upper(c))
-    initial = (head == F.upper(head)) & (head != F.lower(head)) & (rest == F.lower(rest))
+    initial = (head == F.upper(head)) & (head != F.lower(head))
     return F.when(upper, "upper").when(initial, "initial-upper").when(lower, "lower").otherwise("mixed")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -127,33 +128,22 @@ def _rank(parts: tuple[str, ...]) -> tuple:
 def segment_word(word: str, at: dict[int, list[int]], max_components: int, k: int, max_states: int, scored: bool) -> list[tuple[str, ...]] | None:
     """The k best segmentations of a word into 2 to max_components atoms; None when more states than allowed are met.
 
-    A state is a place and how many components stand before it. Each state keeps its k best rests by rank, or
-    the best by score; as the score isn't a sum over components, that best needn't be the best overall.
+    First the places that 0, 1, 2, ... atoms reach are found, a layer for each count; a place in a layer is a state.
+    Then layers are gone through from the last: each place keeps its k best rests by rank, or the best by score; as the
+    score isn't a sum over components, that best needn't be the best overall.
     """
-    states: dict[tuple[int, int], list[tuple[str, ...]]] = {}
-
-    def rests(place: int, used: int) -> list[tuple[str, ...]]:
-        found = states.get((place, used))
-        if found is not None:
-            return found
-        if len(states) >= max_states:
-            raise OverflowError
-        states[place, used] = []
-        if place == len(word):
-            out: list[tuple[str, ...]] = [()] if used >= 2 else []
-        elif used >= max_components:
-            out = []
-        else:
-            every = {(word[place : place + n], *rest) for n in at.get(place, ()) for rest in rests(place + n, used + 1)}
-            key = (lambda p: (segmentation_score([len(x) for x in p]), _rank(p))) if scored else _rank
-            out = sorted(every, key=key, reverse=True)[: 1 if scored else k]
-        states[place, used] = out
-        return out
-
-    try:
-        return rests(0, 0)
-    except OverflowError:
+    reached: list[set[int]] = [{0}]
+    while len(reached) <= max_components and reached[-1]:
+        reached.append({place + n for place in reached[-1] for n in at.get(place, ())})
+    if sum(map(len, reached)) > max_states:
         return None
+    keep, order = (1, lambda p: (segmentation_score([len(x) for x in p]), _rank(p))) if scored else (k, _rank)
+    rests: dict[int, list[tuple[str, ...]]] = {}
+    for count in range(len(reached) - 1, -1, -1):
+        ends = {len(word): [()]} if count > 1 else {}
+        whole = {place: {(word[place : place + n], *rest) for n in at.get(place, ()) for rest in rests.get(place + n, ())} for place in reached[count] if place < len(word)}
+        rests = {place: heapq.nlargest(keep, found, key=order) for place, found in whole.items()} | {place: found for place, found in ends.items() if place in reached[count]}
+    return rests.get(0, [])
 
 
 def segmentations(words: DataFrame, literals: DataFrame, max_components: int = 4, k: int = 1, max_states: int = 100_000, scored: bool = False, found: DataFrame | None = None) -> DataFrame:

@@ -402,3 +402,9 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["restore", str(tmp_path / "r"), str(tmp_path / "b.tsv"), "--max-components", "2"]) == 0
     assert sorted((tmp_path / "b.tsv").read_text().splitlines()) == sorted((tmp_path / "a.tsv").read_text().splitlines())
     assert "license" in capsys.readouterr().out
+
+
+def test_capitalization_classes(spark):
+    rows = [("Haus", "initial-upper"), ("HausTür", "initial-upper"), ("HAUS", "upper"), ("haus", "lower"), ("hAus", "mixed"), ("12", "mixed")]
+    got = spark.createDataFrame(rows, "w string, want string").select("w", V.capitalization_class(F.col("w")).alias("got"), "want").collect()
+    assert [(r.w, r.got) for r in got] == rows
