@@ -5,40 +5,44 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
+import zstandard
+from pyspark.sql import Column, DataFrame, functions as F
 
-from lexweave.llm.common import Scratch, cut, mix
+from lexweave.llm.common import Scratch, cool, cut, mix
 
 #: Steps after which the shared random bits of the walk repeat.
 PERIOD = 1 << 12
-#: Steps of the walk that one sampled token covers.
-BLOCK = 32
-#: Slots of a fingerprint, 32 bits each.
-SLOTS = 64
-#: Bytes of text that one group holds.
-GROUP_BYTES = 16 << 20
-#: Characters that walk together.
-BATCH_CHARS = 4 << 20
-EMPTY = np.uint32(0xFFFFFFFF)
-#: Bands of a fingerprint. Fingerprints of at most FEW minima also meet by single slots.
-BANDS, FEW = 32, 8
+#: The first stratum has so many steps, each next one as many as all before it; SAMPLED steps of each are looked at.
+STRATUM, STRATA, SAMPLED = 64, 26, 64
+#: Bytes of text that one group holds, at about.
+GROUP_BYTES = 6 << 20
+#: Characters, and texts, that walk together.
+BATCH_CHARS, BATCH_DOCS = 2 << 20, 4096
+#: Bands of a fingerprint and the sampled bits of each; least likeness of two fingerprints that are linked.
+BANDS, BITS, LEAST = 20, 28, 0.9
 #: Members of the largest bucket that is compared whole beside others, of a larger one's block, and of a task of small ones.
 SMALL, BUCKET_BLOCK, TASK_ROWS = 64, 2048, 20_000
 
 _CLASSES = 256
 
 
-def _walk_tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each character class and step: steps until the walk moves on, and what the stay adds to a token.
+def _starts() -> np.ndarray:
+    """The first step of each stratum, and the step after the last one."""
+    return np.concatenate([[0], STRATUM << np.arange(STRATA)]).astype(np.int64)
+
+
+def _walk_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fixed random choices that all texts share: (stay, sampled steps, bits).
 
     The walk stands on a character and at each step, by a shared random bit for (step, class), stays or moves to
-    the next one; the embedding repeats the character for every step it stays. Which steps a token looks at is
-    a shared random quarter: the contribution of the others is nought.
+    the next one; the embedding repeats the character for every step it stays. stay has, for each class and step,
+    how many steps until the walk moves on. The embedding is looked at in the sampled steps alone, and as one random
+    bit for each (class, sampled step), so that two embeddings that differ there show it half of the time.
     """
     rng = np.random.Generator(np.random.PCG64(20240229))
     moves = rng.integers(0, 2, (_CLASSES, PERIOD), dtype=np.uint8).astype(bool)
@@ -49,9 +53,14 @@ def _walk_tables() -> tuple[np.ndarray, np.ndarray]:
     for j in range(2 * PERIOD - 1, -1, -1):
         nxt = np.where(twice[:, j], 1, nxt + 1)
         stay[:, j] = nxt
-    sampled = rng.random(PERIOD) < 0.25
-    adds = rng.integers(0, 1 << 63, (_CLASSES, PERIOD), dtype=np.uint64) * sampled
-    return np.ascontiguousarray(stay[:, :PERIOD]), adds
+    starts = _starts()
+    picked = []
+    for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        # One step of each of SAMPLED equal runs of the stratum.
+        run = (hi - lo) // SAMPLED
+        picked.append(lo + np.arange(SAMPLED) * run + rng.integers(0, run, SAMPLED))
+    bits = rng.integers(0, 2, (_CLASSES, STRATA * SAMPLED), dtype=np.uint8)
+    return np.ascontiguousarray(stay[:, :PERIOD]).ravel(), np.concatenate(picked).astype(np.int64), bits.ravel()
 
 
 _TABLES: list[np.ndarray] = []
@@ -59,8 +68,7 @@ _TABLES: list[np.ndarray] = []
 
 def _tables() -> list[np.ndarray]:
     if not _TABLES:
-        stay, adds = _walk_tables()
-        _TABLES.extend([stay.ravel(), adds.ravel()])
+        _TABLES.extend(_walk_tables())
     return _TABLES
 
 
@@ -102,45 +110,79 @@ def ends(chars: np.ndarray, at: np.ndarray, steps: np.ndarray, begin: np.ndarray
     return out
 
 
-def tokens(chars: np.ndarray, at: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bit-sampled blocks of the embedding: (text, block, sum of contributions) for the blocks each text touches."""
-    adds = _tables()[1]
-    doc = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
-    block = steps // BLOCK
-    if not len(chars):
-        return doc, block, np.zeros(0, np.uint64)
-    first = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (doc[1:] != doc[:-1])]))
-    with np.errstate(over="ignore"):
-        return doc[first], block[first], np.add.reduceat(adds[chars.astype(np.int32) * np.int32(PERIOD) + (steps & np.int32(PERIOD - 1))], first)
+@dataclass
+class Prints:
+    """Fingerprints: where each walk ended and, a 64-bit word a stratum, the bits of the sampled steps it passed."""
+
+    end: np.ndarray
+    words: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.end)
+
+    def __getitem__(self, i) -> Prints:
+        return Prints(self.end[i], self.words[i])
 
 
-def slots(n: int, doc: np.ndarray, block: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """One-permutation minima of each text's tokens over SLOTS slots; slots without a token are EMPTY."""
-    with np.errstate(over="ignore"):
-        h = mix(total * np.uint64(0x9E3779B97F4A7C15) + mix(block.astype(np.uint64) + np.uint64(1)))
-    out = np.full(n * SLOTS, EMPTY, dtype=np.uint32)
-    np.minimum.at(out, doc.astype(np.int64) * SLOTS + (h & np.uint64(SLOTS - 1)).astype(np.int64), (h >> np.uint64(32)).astype(np.uint32))
-    return out.reshape(n, SLOTS)
+def sample(chars: np.ndarray, at: np.ndarray, steps: np.ndarray, end: np.ndarray) -> Prints:
+    """The embeddings' bits at the sampled steps: at a step the walk stands on the last character it came to before."""
+    _, picked, bits = _tables()
+    n = len(end)
+    out = np.zeros((n, STRATA * SAMPLED), dtype=np.uint8)
+    seen = np.searchsorted(picked, end)
+    total = int(seen.sum())
+    if total:
+        doc = np.repeat(np.arange(n, dtype=np.int64), seen)
+        which = np.arange(total) - np.repeat(np.cumsum(seen) - seen, seen)
+        keys = (np.repeat(np.arange(n, dtype=np.int64), np.diff(at)) << np.int64(32)) + steps
+        place = np.searchsorted(keys, (doc << np.int64(32)) + picked[which], side="right") - 1
+        out[doc, which] = bits[chars[place].astype(np.int64) * (STRATA * SAMPLED) + which]
+    return Prints(end.astype(np.int64), np.packbits(out, axis=1, bitorder="little").view("<u8").astype(np.uint64))
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of the slots used by either fingerprint in which both have the same minimum; two empty ones: 1."""
-    used = (a != EMPTY) | (b != EMPTY)
-    same = ((a == b) & used).sum(axis=1)
-    total = used.sum(axis=1)
-    return np.where(total > 0, same / np.maximum(total, 1), 1.0)
+def _first_bits() -> np.ndarray:
+    """Words with the first k bits set, k = 0 to 64."""
+    return np.array([(1 << k) - 1 for k in range(65)], dtype=np.uint64)
 
 
-def as_text(prints: np.ndarray) -> list[str]:
-    return [p.astype(">u4").tobytes().hex() for p in prints]
+def _passed(end: np.ndarray) -> np.ndarray:
+    """How many sampled steps of each stratum lie before a step."""
+    seen = np.searchsorted(_tables()[1], end)
+    return np.clip(seen[..., None] - SAMPLED * np.arange(STRATA), 0, SAMPLED)
+
+
+def likeness(a: Prints, b: Prints) -> np.ndarray:
+    """One less the share of steps at which two embeddings differ, as far as the sampled bits tell.
+
+    In each stratum twice the share of differing bits stands for the steps that both walks made; steps that one
+    walk alone made differ. Two empty texts are alike.
+    """
+    least, most = np.minimum(a.end, b.end), np.maximum(a.end, b.end)
+    strata = min(STRATA, max(1, int(np.searchsorted(_starts(), int(least.max()) if len(least) else 0))))
+    starts = _starts()
+    far = (most - least).astype(float)
+    passed = _passed(least)[..., :strata]
+    differ = np.bitwise_count((a.words[..., :strata] ^ b.words[..., :strata]) & _first_bits()[passed])
+    both = np.clip(least[..., None] - starts[:strata], 0, np.diff(starts)[:strata])
+    far += (both * np.minimum(1.0, 2.0 * differ / np.maximum(passed, 1))).sum(axis=-1)
+    return np.where(most > 0, 1.0 - far / np.maximum(most, 1), 1.0)
+
 
+def as_bytes(prints: Prints) -> list[bytes]:
+    """The end in four bytes, then a word for each stratum that the walk came to."""
+    size = np.searchsorted(_starts()[:-1], prints.end)
+    words_ = prints.words.astype("<u8")
+    return [e.to_bytes(4, "big") + w[:k].tobytes() for e, w, k in zip(prints.end.tolist(), words_, size.tolist(), strict=True)]
 
-def from_text(prints: list[str]) -> np.ndarray:
-    return np.stack([np.frombuffer(bytes.fromhex(p), dtype=">u4").astype(np.uint32) for p in prints]) if prints else np.zeros((0, SLOTS), np.uint32)
 
+def from_bytes(prints: list[bytes]) -> Prints:
+    end = np.array([int.from_bytes(p[:4], "big") for p in prints], dtype=np.int64)
+    data = b"".join(p[4:].ljust(8 * STRATA, b"\0") for p in prints)
+    return Prints(end, np.frombuffer(data, dtype="<u8").reshape(-1, STRATA).astype(np.uint64))
 
-def fingerprint_texts(texts: list[str]) -> np.ndarray:
-    """Fingerprints of texts, one row of SLOTS minima each."""
+
+def fingerprint_texts(texts: list[str]) -> Prints:
+    """Fingerprints of texts."""
     return _both(texts, None)[0]
 
 
@@ -149,7 +191,7 @@ def _offsets(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint8)), at
 
 
-def _both(texts: list[str], tails: list[tuple[int, str]] | None) -> tuple[np.ndarray, np.ndarray | None]:
+def _both(texts: list[str], tails: list[tuple[int, str]] | None) -> tuple[Prints, Prints | None]:
     """Fingerprints of texts, and of the texts whose characters from a place on are replaced by another tail.
 
     The walk of an edited text is the text's own up to the edit, so only tails are walked again.
@@ -159,7 +201,7 @@ def _both(texts: list[str], tails: list[tuple[int, str]] | None) -> tuple[np.nda
     chars, at = _offsets(own)
     zero = np.zeros(n, dtype=np.int64)
     steps = walks(chars, at, zero)
-    prints = slots(n, *tokens(chars, at, steps))
+    prints = sample(chars, at, steps, ends(chars, at, steps, zero))
     if tails is None:
         return prints, None
     heads = np.array([k for k, _ in tails], dtype=np.int64)
@@ -167,8 +209,8 @@ def _both(texts: list[str], tails: list[tuple[int, str]] | None) -> tuple[np.nda
     keep = (np.arange(len(chars)) - np.repeat(at[:-1], np.diff(at))) < np.repeat(heads, np.diff(at))
     head, head_at = chars[keep], np.concatenate([[0], np.cumsum(heads)])
     head_steps = steps[keep]
-    tail_steps = walks(tail, tail_at, ends(head, head_at, head_steps, zero))
-    # Head and tail may share a block: lay them out together again before blocks are summed.
+    turn = ends(head, head_at, head_steps, zero)
+    tail_steps = walks(tail, tail_at, turn)
     size = np.diff(head_at) + np.diff(tail_at)
     all_at = np.concatenate([[0], np.cumsum(size)])
     chars2, steps2 = np.empty(all_at[-1], np.uint8), np.empty(all_at[-1], np.int32)
@@ -176,7 +218,7 @@ def _both(texts: list[str], tails: list[tuple[int, str]] | None) -> tuple[np.nda
     to_tail = np.arange(len(tail)) + np.repeat(all_at[:-1] + np.diff(head_at) - tail_at[:-1], np.diff(tail_at))
     chars2[to_head], steps2[to_head] = head, head_steps
     chars2[to_tail], steps2[to_tail] = tail, tail_steps
-    return prints, slots(n, *tokens(chars2, all_at, steps2))
+    return prints, sample(chars2, all_at, steps2, ends(tail, tail_at, tail_steps, turn))
 
 
 def _edited(text: str, following: str) -> tuple[int, str]:
@@ -185,157 +227,231 @@ def _edited(text: str, following: str) -> tuple[int, str]:
     return len(text) - half, following[:half]
 
 
-def _rows(ids: list, texts: list[str], following: list[str]) -> pd.DataFrame:
+ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.binary()) for c in ("sha", "own", "edited")), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+PACKED = "doc_id long, n_chars long, sha binary, own binary, edited binary, near_edited double, near_next double"
+#: What fingerprints() returns.
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def _rows(ids: list, texts: list[str], following: list[str]) -> pa.Table:
     """Result rows for texts and the next document's texts; both lists walk together in batches."""
     tails = [_edited(t, f) for t, f in zip(texts, following, strict=True)]
-    chain = texts if following[:-1] == texts[1:] else None
     prints, edited = _both(texts, tails)
-    if chain is not None:
-        nxt = np.concatenate([prints[1:], fingerprint_texts(following[-1:])])
+    if following[:-1] == texts[1:]:
+        last = fingerprint_texts(following[-1:])
+        nxt = Prints(np.concatenate([prints.end[1:], last.end]), np.concatenate([prints.words[1:], last.words]))
     else:
         nxt = fingerprint_texts(following)
-    return pd.DataFrame(
-        {
-            "doc_id": ids,
-            "n_chars": [len(t) for t in texts],
-            "edited_sha256": [hashlib.sha256((t[:k] + x).encode("utf-8", "surrogatepass")).hexdigest() for t, (k, x) in zip(texts, tails, strict=True)],
-            "fingerprint": as_text(prints),
-            "edited_fingerprint": as_text(edited),
-            "near_edited": likeness(prints, edited),
-            "near_next": likeness(prints, nxt),
-        }
-    )
-
-
-ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    sha = [hashlib.sha256((t[:k] + x).encode("utf-8", "surrogatepass")).digest() for t, (k, x) in zip(texts, tails, strict=True)]
+    return pa.table([ids, [len(t) for t in texts], sha, as_bytes(prints), as_bytes(edited), likeness(prints, edited), likeness(prints, nxt)], schema=ARROW)
+
+
+def _legible(packed: DataFrame) -> list[Column]:
+    """The contract's columns from the packed ones."""
+    return ["doc_id", "n_chars", *(F.lower(F.hex(c)).alias(n) for c, n in (("sha", "edited_sha256"), ("own", "fingerprint"), ("edited", "edited_fingerprint"))), "near_edited", "near_next"]
 
 
 def fingerprints(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Each document's fingerprint and that of its edited text (its last half replaced by the next one's head).
 
-    Documents are dealt to groups by ranges of doc_id of about group_bytes of text; the first document of a
-    range also goes to the range before (the very first to the last), so each group has every next document it
-    needs and one shuffle of the texts is enough. Null texts are empty; an empty text's fingerprint has no
-    minima and is like another empty one only. Rows that share a doc_id follow each other by text; rows without
-    a doc_id come first. An only document is its own next one. An empty table gives no rows.
+    near_edited and near_next are one less the share of steps at which the embeddings differ, as the bits sampled
+    from them tell. Null texts are empty; two empty texts are alike, an empty and another one are not. Rows that
+    share a doc_id follow each other by a hash of their text; rows without a doc_id come first. An only document
+    is its own next one. An empty table gives no rows.
+    """
+    packed = _packed(docs, group_bytes)
+    return packed.select(*_legible(packed))
+
+
+def _packed(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """fingerprints(docs), packed in bytes.
+
+    Documents are dealt to groups by ranges of (doc_id, hash of the text) of about group_bytes of text; the first
+    document of a range also goes to the range before (the very first to the last), so each group has every next
+    document it needs, and the texts, compressed, are shuffled once. Tasks know the ranges' borders, 24 bytes for
+    group_bytes of text.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    narrow = cut(docs.select("doc_id", F.octet_length(text).alias("bytes"), F.xxhash64(text).alias("tie")))
+    key = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key")
+    narrow = cut(docs.select(key, F.octet_length(text).alias("bytes"), F.xxhash64(text).alias("tie")))
     total, rows = narrow.agg(F.sum("bytes"), F.count("*")).first()
     if not rows:
-        return spark.createDataFrame([], SCHEMA)
+        return spark.createDataFrame([], PACKED)
     n = max(1, math.ceil(total / group_bytes))
-    points = narrow.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], max(10000, 20 * n)).alias("p")).first()[0] if n > 1 else []
-    points = sorted(set(points or []))
-
-    def group_of(c):
-        if not points:
-            return F.lit(0)
-        width = max(1, math.isqrt(len(points)))
-        runs = [points[i : i + width] for i in range(0, len(points), width)]
-        coarse = F.array(*[F.lit(r[0]) for r in runs[1:]]).cast("array<long>")
-        which = F.size(F.filter(coarse, lambda p: p <= c))
-        fine = F.element_at(F.array(*[F.array(*map(F.lit, r)).cast("array<long>") for r in runs]), (which + 1).cast("int"))
-        return F.coalesce(which * width + F.size(F.filter(fine, lambda p: p <= c)), F.lit(0))
-
-    first = narrow.withColumn("group", group_of(F.col("doc_id"))).groupBy("group").agg(F.min(F.struct("doc_id", "tie")).alias("f"))
-    first = first.withColumn("to", F.coalesce(F.lag("group").over(Window.orderBy("group")), F.max("group").over(Window.partitionBy())))
-    heads = [(r["f"]["doc_id"], r["f"]["tie"], r["to"]) for r in first.collect()]  # one short row a group
-    head = F.broadcast(spark.createDataFrame(heads, "head_id long, head_tie long, to int"))
-    dealt = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tie")).withColumn("group", group_of(F.col("doc_id")).cast("int"))
-    halo = dealt.join(head, F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie"))).dropDuplicates(["to"])
-    both = dealt.select("group", "doc_id", "text", "tie", F.lit(False).alias("halo")).union(halo.select("to", "doc_id", "text", "tie", F.lit(True)))
+    # A row counts once and once more for each average text it is long: at most twice as many rows.
+    weighed = narrow.select("key", F.explode(F.array_repeat(F.lit(0), (1 + F.floor(F.col("bytes") / F.lit(max(1.0, total / rows)))).cast("int"))))
+    points = weighed.select(F.percentile_approx("key", [i / n for i in range(1, n)], max(10000, 20 * n)).alias("p")).first()[0] if n > 1 else []
+    split = spark.sparkContext.broadcast(np.sort(np.array(points or [], dtype=np.int64)))
+
+    def group_of(keys: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        """A range for each; an id that several borders name is dealt to as many ranges by its texts' hashes."""
+        lo, hi = np.searchsorted(split.value, keys, "left"), np.searchsorted(split.value, keys, "right")
+        many = np.maximum(hi - lo, 1)
+        part = np.floor((ties.astype(np.float64) / 2.0**64 + 0.5) * many).astype(np.int64)
+        return np.where(hi - lo > 1, lo + 1 + np.clip(part, 0, many - 1), hi)
+
+    @F.pandas_udf("long")
+    def group(keys: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series(group_of(keys.to_numpy(), ties.to_numpy()))
+
+    first = narrow.withColumn("group", group("key", "tie")).groupBy("group").agg(F.min(F.struct("key", "tie")).alias("f")).select("group", "f.key", "f.tie").orderBy("group").toArrow()
+    own, first_key, first_tie = (first.column(c).to_numpy() for c in ("group", "key", "tie"))
+    heads = spark.sparkContext.broadcast((own, first_key, first_tie, np.concatenate([own[-1:], own[:-1]])))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cool()
+        press = zstandard.ZstdCompressor(level=1).compress
+        names, least_key, least_tie, before = heads.value
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1024):
+                b = whole.slice(i, 1024)
+                keys, ties = b.column(1).to_numpy(), b.column(3).to_numpy()
+                to = group_of(keys, ties)
+                at = np.searchsorted(names, to)
+                halo = np.flatnonzero((least_key[at] == keys) & (least_tie[at] == ties))
+                rows_ = pa.array(np.concatenate([np.arange(len(to)), halo]))
+                pressed = pa.array([press(t) for t in b.column(2).cast(pa.binary()).to_pylist()], pa.binary())
+                flag = np.arange(len(rows_)) >= len(to)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([to, before[at[halo]]])), *(c.take(rows_) for c in (b.column(0), pressed, b.column(3))), pa.array(flag)], ["group", "doc_id", "text", "tie", "halo"])
+
+    dealt = docs.select("doc_id", key, text.alias("text"), F.xxhash64(text).alias("tie")).mapInArrow(deal, "group long, doc_id long, text binary, tie long, halo boolean")
 
     def run(table: pa.Table) -> pa.Table:
-        halo_, ids, ties = (table.column(c).to_pylist() for c in ("halo", "doc_id", "tie"))
-        order = sorted(range(table.num_rows), key=lambda i: (halo_[i], ids[i] is not None, ids[i] or 0, ties[i]))
-        texts = table.column("text").take(pa.array(order)).to_pylist()
-        own = [ids[i] for i in order if not halo_[i]]
-        out, i = [], 0
-        while i < len(own):
-            j, size = i, 0
-            while j < len(own) and (j == i or size + len(texts[j]) <= BATCH_CHARS):
-                size += len(texts[j])
-                j += 1
-            out.append(_rows(own[i:j], texts[i:j], texts[i + 1 : j + 1]))
-            i = j
-        return pa.Table.from_pandas(pd.concat(out) if out else _rows([], [], []), schema=ARROW, preserve_index=False)
-
-    return both.groupBy("group").applyInArrow(run, SCHEMA)
-
-
-def _bands(bands: int) -> np.ndarray:
-    """Which slots each band looks at, a row a band: bands of equal width, then each slot alone."""
-    own = np.arange(SLOTS) // (SLOTS // bands)
-    return np.concatenate([own[None] == np.arange(bands)[:, None], np.eye(SLOTS, dtype=bool)])
-
-
-def _alike(prints: np.ndarray, i: np.ndarray, j: np.ndarray, band: np.ndarray, bands: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the pairs (i, j) met in a band are alike and share no earlier band, and their likeness."""
-    a, b = prints[i], prints[j]
-    like = likeness(a, b)
+        halo, ids, ties = (table.column(c).to_pylist() for c in ("halo", "doc_id", "tie"))
+        order = sorted(range(table.num_rows), key=lambda i: (halo[i], ids[i] is not None, ids[i] or 0, ties[i]))
+        order = order[: len(order) - max(0, sum(halo) - 1)]  # equal rows may each have come as the next range's first
+        pressed, size_of = table.column("text").combine_chunks(), zstandard.ZstdDecompressor()
+        text_of = lambda i: size_of.decompress(pressed[order[i]].as_py()).decode("utf-8", "surrogatepass")
+        n_own = len(order) - (1 if any(halo) else 0)
+        out, texts, size, start = [], [], 0, 0
+        for i in range(n_own + 1):
+            texts.append(text_of(i))
+            size += len(texts[-1])
+            if i and (i == n_own or size > BATCH_CHARS or len(texts) > BATCH_DOCS):
+                out.append(_rows([ids[j] for j in order[start:i]], texts[:-1], texts[1:]))
+                texts, size, start = texts[-1:], len(texts[-1]), i
+        return pa.concat_tables(out) if out else ARROW.empty_table()
+
+    return dealt.groupBy("group").applyInArrow(run, PACKED)
+
+
+def _band_places() -> list[np.ndarray]:
+    """For each level, BANDS rows of sampled steps: level k has the first k + 1 strata, drawn by how many steps stand for."""
+    rng = np.random.Generator(np.random.PCG64(7))
+    out = []
+    for level in range(STRATA):
+        weight = np.repeat(np.diff(_starts())[: level + 1], SAMPLED).astype(float)
+        out.append(np.stack([rng.choice(len(weight), BITS, replace=False, p=weight / weight.sum()) for _ in range(BANDS)]))
+    return out
+
+
+def band_buckets(prints: Prints) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(print, band, bucket): bits sampled from the strata a walk passed whole, and from one fewer if it hardly did.
+
+    Two walks at likeness LEAST end within that ratio of each other, so they share a level. Walks that don't pass the
+    first stratum are cut in runs of steps, more than may differ, by their bits and their ends within the run.
+    """
+    level = np.searchsorted(_starts()[1:], prints.end, side="right") - 1
+    bits = np.unpackbits(prints.words.astype("<u8").view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
+    found = []
+    places = _band_places()
+
+    def add(rows: np.ndarray, band: int, seed: int, sampled: np.ndarray) -> None:
+        packed = np.zeros((len(rows), 8), dtype=np.uint8)
+        packed[:, : (sampled.shape[1] + 7) // 8] = np.packbits(sampled, axis=1, bitorder="little")
+        with np.errstate(over="ignore"):
+            found.append((rows, np.full(len(rows), band, np.int16), mix(packed.view("<u8").ravel().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 64 + band + 1))))
+
+    for k in range(STRATA):
+        some = (level == k) | ((level == k + 1) & (prints.end * LEAST <= _starts()[min(k + 2, STRATA)]))
+        rows = np.flatnonzero(some)
+        for band in range(BANDS if len(rows) else 0):
+            add(rows, band, k + 1, bits[rows][:, places[k][band]])
+    rows = np.flatnonzero(prints.end * LEAST < STRATUM)
+    runs = 1 + math.ceil((1 - LEAST) * STRATUM / LEAST)
+    edges = np.linspace(0, STRATUM, runs + 1).astype(int)
+    for band in range(runs if len(rows) else 0):
+        # A set bit more for each step of the run that the walk made tells its end.
+        steps = np.arange(edges[band], edges[band + 1])
+        add(rows, BANDS + band, 0, np.concatenate([bits[rows][:, steps], (steps < prints.end[rows][:, None]).astype(np.uint8)], axis=1)[:, :64])
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int16), np.zeros(0, np.uint64))
+    return tuple(np.concatenate([f[i] for f in found] or [none[i]]) for i in range(3))
+
+
+def _alike(prints: Prints, i: np.ndarray, j: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs (i, j) are alike, and their likeness."""
+    like = likeness(prints[i], prints[j])
     at = np.flatnonzero(like >= least)
-    a, b = a[at], b[at]
-    looks = _bands(bands).astype(np.float32)
-    differ, used = (a != b).astype(np.float32) @ looks.T, (a != EMPTY).astype(np.float32) @ looks.T
-    shared = (differ == 0) & (used > 0)
-    few = np.maximum((a != EMPTY).sum(axis=1), (b != EMPTY).sum(axis=1)) <= FEW
-    shared[~few, bands:] = False
-    at = at[shared.argmax(axis=1) == band[at]]
     return at, like[at]
 
 
-def _links(prints: DataFrame, scratch: Scratch, bands: int, least: float, count: bool) -> tuple[DataFrame, DataFrame]:
-    """Classes (id, class, bits), and their pairs (a, b, likeness) of ids or, if count, (id, links) a task.
+def _bucket_table(prints: Prints) -> np.ndarray:
+    """Each print's buckets in ascending order, a row a print; the rest of a row is filled with distinct numbers."""
+    row, _, bucket = band_buckets(prints)
+    order = np.lexsort((bucket, row))
+    row, bucket = row[order], bucket[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    width = int(place.max()) + 1 if len(place) else 1
+    out = np.full((len(prints), width), np.uint64(0))
+    out[row, place] = bucket
+    return out
+
 
-    Each band samples SLOTS / bands of the minima. Of two fingerprints at likeness over one half more slots agree
-    than differ, so with bands of two slots some band agrees; at just one half as many agree as differ, and a
-    pair of few minima, which might have each that agrees beside one that differs, also meets by single slots.
-    Small buckets are compared in full many a task; larger ones block against block. A pair counts in
-    the first band that it shares.
+def _first_common(table: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest bucket that each pair of prints shares."""
+    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    out = np.full(len(i), top)
+    for c in range(table.shape[1]):
+        own = table[i, c]
+        shared = (own[:, None] == table[j]).any(axis=1) & (own > 0)
+        out = np.where(shared, np.minimum(out, own), out)
+    return out
+
+
+def _links(prints: DataFrame, scratch: Scratch, least: float, count: bool) -> tuple[DataFrame, DataFrame]:
+    """Classes (id, class, bits) of equal packed fingerprints (doc_id, own), and what is alike among them: pairs (a, b,
+    likeness) of ids or, if count, (id, links) a task.
+
+    Classes that agree in a band's sampled bits are compared. Small buckets are compared in full, many a task; larger
+    ones block against block. A pair counts in the smallest bucket that it shares, so counts can be summed.
     """
-    cls = scratch.table(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("class")).select(F.xxhash64("fingerprint").alias("id"), "class", F.unhex("fingerprint").alias("bits")))
-    looks = _bands(bands)
+    cls = scratch.table(prints.select(F.xxhash64("own").alias("id"), "doc_id", "own").groupBy("id").agg(F.min("doc_id").alias("class"), F.first("own").alias("bits")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 4096):
                 b = whole.slice(k, 4096)
-                p = _as_prints(b.column(1))
-                ids = b.column(0).to_numpy()
-                full = p != EMPTY
-                few = full.sum(axis=1) <= FEW
-                for at, look in enumerate(looks):
-                    some = full[:, look].any(axis=1) & (few | (at < bands))
-                    if some.any():
-                        own = p[some][:, look].astype(np.uint64)
-                        with np.errstate(over="ignore"):
-                            h = np.full(len(own), at + 1, dtype=np.uint64)
-                            for c in range(own.shape[1]):
-                                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + own[:, c])
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(np.full(len(own), at, np.int16)), pa.array(h.view(np.int64))], ["id", "band", "bucket"])
-
-    each = cls.select("id", "bits").mapInArrow(run, "id long, band short, bucket long")
+                row, band, bucket = band_buckets(from_bytes(b.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(bucket.view(np.int64))], ["id", "bucket"])
+
+    each = scratch.table(cls.select("id", "bits").mapInArrow(run, "id long, bucket long"))
     sizes = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = scratch.table(each.join(sizes, "bucket"))
     parts = max(1, math.ceil(members.count() / TASK_ROWS))
     k = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
-    small = members.where(F.col("n") <= SMALL).select("id", "band", "bucket", F.pmod("bucket", F.lit(parts)).alias("group"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), F.lit(0).alias("mine"))
+    small = members.where(F.col("n") <= SMALL).select("id", "bucket", F.pmod("bucket", F.lit(parts)).alias("group"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), F.lit(0).alias("mine"))
     large = members.where(F.col("n") > SMALL).withColumn("k", k).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    large = large.select("id", "band", "bucket", F.col("bucket").alias("group"), F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine")
+    large = large.select("id", "bucket", F.col("bucket").alias("group"), F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine")
     dealt = small.union(large).join(cls.select("id", "bits"), "id")
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, band, bucket, lo, hi, mine = (table.column(c).to_numpy() for c in ("id", "band", "bucket", "lo", "hi", "mine"))
-        p = _as_prints(table.column("bits"))
-        found = []
-
-        def hold(i, j, own):
-            at, like = _alike(p, i, j, own, bands, least)
-            found.append((ids[i[at]], ids[j[at]], like))
+        ids, bucket, lo, hi, mine = (table.column(c).to_numpy() for c in ("id", "bucket", "lo", "hi", "mine"))
+        p = from_bytes(table.column("bits").to_pylist())
+        buckets = _bucket_table(p)
+        links, found = np.zeros(len(ids), dtype=np.int64), []
+
+        def hold(i, j):
+            at, like = _alike(p, i, j, least)
+            i, j = i[at], j[at]
+            own = _first_common(buckets, i, j).view(np.int64) == bucket[i]
+            i, j = i[own], j[own]
+            if count:
+                np.add.at(links, i, 1)
+                np.add.at(links, j, 1)
+            else:
+                found.append((ids[i], ids[j], like[own]))
 
         if lo[0] < 0:
             order = np.argsort(bucket, kind="stable")
@@ -343,58 +459,47 @@ def _links(prints: DataFrame, scratch: Scratch, bands: int, least: float, count:
                 same = np.flatnonzero(bucket[order[d:]] == bucket[order[:-d]]) if d < len(order) else np.zeros(0, np.int64)
                 if not len(same):
                     break
-                for at in range(0, len(same), 65536):
-                    i, j = order[same[at : at + 65536]], order[same[at : at + 65536] + d]
-                    hold(i, j, band[i])
+                for at in range(0, len(same), 16384):
+                    hold(order[same[at : at + 16384]], order[same[at : at + 16384] + d])
         else:
             x, y = np.flatnonzero(mine == lo[0]), np.flatnonzero(mine == hi[0])
-            used = (p != EMPTY).sum(axis=1)
-            right = np.ascontiguousarray(p[y].T)
-            for at in range(0, len(x), 32):
-                rows = x[at : at + 32]
-                same = np.zeros((len(rows), len(y)), dtype=np.int16)
-                for c in range(SLOTS):
-                    same += (p[rows, c][:, None] == right[c][None]) & (p[rows, c] != EMPTY)[:, None]
-                i, j = np.nonzero(same >= least * np.maximum(used[rows][:, None], used[y][None]))
-                i, j = rows[i], y[j]
-                if lo[0] == hi[0]:
-                    i, j = i[i < j], j[i < j]
-                for part in range(0, len(i), 65536):
-                    hold(i[part : part + 65536], j[part : part + 65536], band[i[part : part + 65536]])
+            for i in x.tolist():
+                other = y[y > i] if lo[0] == hi[0] else y
+                # Walks that end too far apart can't be alike.
+                other = other[(p.end[other] * least <= p.end[i]) & (p.end[i] * least <= p.end[other])]
+                for at in range(0, len(other), 16384):
+                    hold(np.full(len(other[at : at + 16384]), i), other[at : at + 16384])
+        if count:
+            return pa.table({"id": ids[links > 0], "links": links[links > 0]})
         a, b, like = (np.concatenate([f[c] for f in found]) if found else np.zeros(0, t) for c, t in enumerate((np.int64, np.int64, float)))
-        if not count:
-            return pa.table({"a": a, "b": b, "likeness": like})
-        own, n = np.unique(np.concatenate([a, b]), return_counts=True)
-        return pa.table({"id": own, "links": n})
+        return pa.table({"a": a, "b": b, "likeness": like})
 
     schema = "id long, links long" if count else "a long, b long, likeness double"
     return cls, dealt.groupBy("group", "lo", "hi").applyInArrow(compare, schema)
 
 
-def _as_prints(bits: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(bits.to_pylist()), dtype=">u4").reshape(-1, SLOTS).astype(np.uint32)
-
-
-def near_pairs(prints: DataFrame, bands: int = BANDS, least: float = 0.5) -> DataFrame:
+def near_pairs(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """Documents alike by fingerprint, as (class_a, class_b, likeness), classes being the smallest doc_id of equal ones.
 
-    All pairs of classes whose likeness is least or more; fingerprints without a doc_id are left out.
+    Pairs of classes that share a band and whose likeness is least or more; rows without a doc_id are left out.
     """
-    with Scratch(prints.sparkSession) as scratch:
-        cls, pairs = _links(prints.where("doc_id is not null"), scratch, bands, least, False)
+    with Scratch(docs.sparkSession) as scratch:
+        prints = scratch.table(_packed(docs)).where("doc_id is not null")
+        cls, pairs = _links(prints, scratch, least, False)
         a, b = (cls.select(F.col("id").alias(i), F.col("class").alias(f"c{i}")) for i in "ab")
         return cut(pairs.join(a, "a").join(b, "b").select(F.least("ca", "cb").alias("class_a"), F.greatest("ca", "cb").alias("class_b"), "likeness"))
 
 
-def linked_fingerprints(docs: DataFrame, bands: int = BANDS, least: float = 0.5) -> DataFrame:
+def linked_fingerprints(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """fingerprints(docs) with class_id, the smallest doc_id of equal fingerprints, and links, how many other classes are alike.
 
-    class_id is null where no document of the class has a doc_id. An empty text's class has no links.
+    Classes are compared where they share a band. class_id is null where no document of the class has a doc_id. An
+    empty text's class has no links.
     """
     with Scratch(docs.sparkSession) as scratch:
-        prints = scratch.table(fingerprints(docs))
-        cls, parts = _links(prints, scratch, bands, least, True)
+        prints = scratch.table(_packed(docs))
+        cls, parts = _links(prints, scratch, least, True)
         links = parts.groupBy("id").agg(F.sum("links").alias("links"))
         named = cls.select("id", F.col("class").alias("class_id")).join(links, "id", "left")
-        found = prints.withColumn("id", F.xxhash64("fingerprint")).join(named, "id")
-        return cut(found.select(*prints.columns, "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links")))
+        found = prints.withColumn("id", F.xxhash64("own")).join(named, "id")
+        return cut(found.select(*_legible(prints), "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links")))
