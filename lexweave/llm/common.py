@@ -6,12 +6,14 @@ import contextlib
 import ctypes
 import gc
 import math
+import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -21,13 +23,32 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows and bytes that go to a Python worker at a time: texts are long, and several batches are in memory at once.
+ARROW_ROWS, ARROW_BYTES = 1024, 8 << 20
+
+
+def lean(spark: SparkSession) -> None:
+    """Have batches for Python workers no larger than ARROW_ROWS and ARROW_BYTES; smaller settings stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(key)
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder is used if Spark runs in this machine alone; otherwise a RuntimeError is
+    raised, as executors would each write to their own disk.
+    """
+    lean(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not found:
         found = sc.getCheckpointDir()
         if not found:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             found = tempfile.mkdtemp(prefix="lexweave-")
             sc.setCheckpointDir(found)
     elif not sc.getCheckpointDir():
@@ -174,6 +195,42 @@ def arrow_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+#: Bytes of which words are found and hashed at a time, and texts at a time.
+BLOCK, BLOCK_TEXTS = 1 << 19, 512
+
+
+def text_slices(batch: pa.RecordBatch, *columns: int) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows with about BLOCK bytes of text, or one row."""
+    size = np.zeros(batch.num_rows, dtype=np.int64)
+    for c in columns:
+        size += pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(size)
+    i = 0
+    while i < batch.num_rows:
+        before = int(ends[i - 1]) if i else 0
+        j = min(i + BLOCK_TEXTS, max(i + 1, int(np.searchsorted(ends, before + BLOCK, side="right"))))
+        yield batch.slice(i, j - i)
+        i = j
+
+
+def _word_blocks(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of about BLOCK bytes that end where a word can't go on."""
+    lo, n = 0, len(data)
+    while lo < n:
+        hi = lo + BLOCK
+        while hi < n:
+            edge = np.flatnonzero(SPACE[data[hi : hi + BLOCK]])
+            later = at[np.searchsorted(at, hi) :][:1]
+            stop = min([hi + int(e) for e in edge[:1]] + [int(x) for x in later if x < hi + BLOCK], default=None)
+            if stop is not None:
+                hi = stop
+                break
+            hi += BLOCK
+        hi = min(hi, n)
+        yield lo, hi
+        lo = hi
+
+
 def words(data: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Each word's 64-bit hash, first byte, byte after its end, and the offsets of each text's words.
 
@@ -183,6 +240,20 @@ def words(data: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.nda
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
+    if n > 2 * BLOCK:
+        found = []
+        for lo, hi in _word_blocks(data, at):
+            inner = at[np.searchsorted(at, lo, side="right") : np.searchsorted(at, hi)] - lo
+            found.append((lo, *_words(data[lo:hi], np.concatenate([[0], inner, [hi - lo]]), lower)))
+        begin = np.concatenate([lo + b for lo, _, b, _ in found])
+        return np.concatenate([h for _, h, _, _ in found]), begin, np.concatenate([lo + e for lo, _, _, e in found]), np.searchsorted(begin, at)
+    hashed, begin, end = _words(data, at, lower)
+    return hashed, begin, end, np.searchsorted(begin, at)
+
+
+def _words(data: np.ndarray, at: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """words() of a few bytes, without the texts' offsets."""
+    n = len(data)
     solid = ~SPACE[data]
     left = np.empty(n, dtype=bool)
     left[0] = True
@@ -203,7 +274,7 @@ def words(data: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.nda
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(codes[data] * power[:n], out=sums[1:])
         hashed = mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64) * _ODD)
-    return hashed, begin, end, np.searchsorted(begin, at)
+    return hashed, begin, end
 
 
 def gram_hashes(hashed: np.ndarray, size: int) -> np.ndarray:

@@ -5,19 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lexweave.llm.common import Scratch, arrow_bytes, cool, cut, mix, shingles, words
+from lexweave.llm.common import Scratch, arrow_bytes, cool, cut, mix, shingles, text_slices, words
 
 #: 20 bands of 5 minima: a pair at similarity 0.8 shares a band with probability 1 - 4e-4, at 0.85 1 - 8e-6.
 BANDS, ROWS = 20, 5
-#: Rounds in which every bucket compares all its members with one of them, before what is left is compared in full.
-STAR_ROUNDS = 2
-#: Classes of one bucket that are compared at a time in what is left after that.
-BLOCK = 128
-#: Steps in which shares of private shingles are told apart.
-LEVELS = 100
+#: Bits of the filter that keeps rows without candidates out of a shuffle: 8 MB.
+FILTER_BITS = 1 << 26
 
 _SEED = np.arange(1, 2 * 1024 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -30,47 +27,79 @@ def _universal(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(sets: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """The minimum of each of n universal hashes over each set (32 bits kept); sets must not be empty."""
+    """The minimum of each of n universal hashes over each set (its first 16 bits kept); sets must not be empty."""
     mul, add = _universal(n)
-    out = np.empty((len(at) - 1, n), dtype=np.uint32)
+    out = np.empty((len(at) - 1, n), dtype=np.uint16)
     with np.errstate(over="ignore"):
         for k in range(n):
-            out[:, k] = (np.minimum.reduceat(sets * mul[k] + add[k], at[:-1]) >> np.uint64(32)).astype(np.uint32)
+            # The least of many hashes begins with noughts: its bits are mixed before 16 are kept.
+            out[:, k] = (mix(np.minimum.reduceat(sets * mul[k] + add[k], at[:-1])) >> np.uint64(48)).astype(np.uint16)
     return out
 
 
-def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, signature, bands) of every row; the last three are null for rows without words."""
+def sketches(docs: DataFrame, size: int, minima: int) -> DataFrame:
+    """(doc_id, n_shingles, set_key, signature) of every row; the last two are null for rows without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cool()
         for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                b = whole.slice(i, 256)
+            for b in text_slices(whole, 1):
                 hashed, _, _, at = words(*arrow_bytes(b.column(1)), lower=True)
                 sets, own = shingles(hashed, at, size)
                 counts = np.diff(own)
                 full = counts > 0
-                keys, band, signed = [None] * len(counts), [None] * len(counts), [None] * len(counts)
+                keys, signed = [None] * len(counts), [None] * len(counts)
                 if full.any():
                     starts = np.concatenate([own[:-1][full], own[-1:]])
-                    sig = signatures(sets, starts, bands * rows)
+                    sig = signatures(sets, starts, minima)
                     with np.errstate(over="ignore"):
                         one = np.add.reduceat(mix(sets), starts[:-1])
                         two = np.bitwise_xor.reduceat(mix(sets * np.uint64(0xD6E8FEB86659FD93)), starts[:-1])
-                        key = np.stack([one, two], 1).astype("<u8")
-                        hashes = np.zeros((len(sig), bands), dtype=np.uint64)
-                        for r in range(rows):
-                            hashes = mix(hashes * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::rows].astype(np.uint64) + np.uint64(r + 1))
-                        hashes = hashes * np.uint64(31) + np.arange(bands, dtype=np.uint64)
+                    key = np.stack([one, two], 1).astype("<u8")
                     for j, d in enumerate(np.flatnonzero(full).tolist()):
-                        keys[d], band[d], signed[d] = key[j].tobytes(), hashes[j].view(np.int64), sig[j].view(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(signed, pa.list_(pa.int32())), pa.array(band, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "set_key", "signature", "bands"],
-                )
+                        keys[d], signed[d] = key[j].tobytes(), sig[j].view(np.int16)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(signed, pa.list_(pa.int16()))], ["doc_id", "n_shingles", "set_key", "signature"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature array<int>, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature array<short>")
+
+
+def banded(classes: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(class, bucket): a row for each band of each class's signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 4096):
+                b = whole.slice(i, 4096)
+                sig = b.column(1).flatten().to_numpy().view(np.uint16).reshape(-1, bands * rows)
+                hashes = np.zeros((len(sig), bands), dtype=np.uint64)
+                with np.errstate(over="ignore"):
+                    for r in range(rows):
+                        hashes = mix(hashes * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::rows].astype(np.uint64) + np.uint64(r + 1))
+                    hashes = hashes * np.uint64(31) + np.arange(bands, dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(sig)), bands))), pa.array(hashes.ravel().view(np.int64))], ["class", "bucket"])
+
+    return classes.select("class", "signature").mapInArrow(run, "class long, bucket long")
+
+
+def likely_among(docs: DataFrame, ids: DataFrame, count: int) -> DataFrame:
+    """docs without most rows whose doc_id isn't among ids (one column, count rows), so that fewer are shuffled.
+
+    A bit for each hash of an id, in at most FILTER_BITS bits, goes to all tasks. With more ids than that tells apart
+    fewer rows are left out; a row that is among ids never is.
+    """
+    bits = min(FILTER_BITS, 1 << max(10, (16 * max(1, count) - 1).bit_length()))
+    place = F.pmod(F.xxhash64(ids.columns[0]), F.lit(bits))
+    words_ = ids.select(place.alias("p")).selectExpr("shiftright(p, 6) AS w", "shiftleft(1L, cast(p % 64 AS int)) AS v").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
+    held = np.zeros(bits // 64, dtype=np.int64)  # at most FILTER_BITS / 64 rows
+    held[words_.column("w").to_numpy()] = words_.column("v").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(held)
+
+    @F.pandas_udf("boolean")
+    def among(hashed: pd.Series) -> pd.Series:
+        h = hashed.to_numpy()
+        return pd.Series((shared.value[h >> 6] >> (h & 63)) & 1 == 1)
+
+    return docs.where(among(F.pmod(F.xxhash64("doc_id"), F.lit(bits))))
 
 
 def agreeing(pairs: DataFrame, classes: DataFrame, percent: int, minima: int) -> DataFrame:
@@ -91,8 +120,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cool()
         for whole in batches:
-            for i in range(0, whole.num_rows, 128):
-                b = whole.slice(i, 128)
+            for b in text_slices(whole, 2, 3):
                 sides = []
                 for c in (2, 3):
                     hashed, _, _, at = words(*arrow_bytes(b.column(c)), lower=True)
@@ -107,28 +135,61 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
 
     a = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     b = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb")
+    both = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "ta", "tb")
     return both.mapInArrow(run, "a long, b long")
 
 
-def own_shingles(docs: DataFrame, size: int) -> DataFrame:
-    """(class, total, private): how many shingles each document has, and how many that no other of docs has."""
+def shingle_rows(docs: DataFrame, size: int) -> DataFrame:
+    """(class, part, shingle): the distinct shingles of each of docs, a row each; part tells texts of one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cool()
         for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                b = whole.slice(i, 256)
+            for b in text_slices(whole, 1):
                 hashed, _, _, at = words(*arrow_bytes(b.column(1)), lower=True)
                 sets, own = shingles(hashed, at, size)
-                ids = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), np.diff(own))))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sets.view(np.int64))], ["class", "shingle"])
+                text = np.repeat(np.arange(b.num_rows), np.diff(own))
+                part = np.zeros(b.num_rows, dtype=np.uint64)
+                np.add.at(part, text, mix(sets))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text)), pa.array(part[text].view(np.int64)), pa.array(sets.view(np.int64))], ["class", "part", "shingle"])
 
-    each = docs.select("doc_id", "text").mapInArrow(run, "class long, shingle long")
-    held = each.groupBy("shingle").agg(F.min("class").alias("class"), F.max("class").alias("last"), F.count("*").alias("n"))
-    private = held.where("class = last").groupBy("class").agg(F.sum("n").alias("private"))
-    total = each.groupBy("class").agg(F.count("*").alias("total"))
-    return total.join(private, "class", "left").select("class", "total", F.coalesce("private", F.lit(0)).alias("private"))
+    return docs.select("doc_id", "text").mapInArrow(run, "class long, part long, shingle long")
+
+
+def rare_entries(left: DataFrame, texts: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(shingle, class, component, n, most): by which shingles each of left (class, component) may meet a similar set.
+
+    All sets order their shingles alike: the rarer among left's the earlier. Two similar sets then have a common
+    one among the first n - percent% n + 1 of either, and the first they have in common, after which a set has
+    room shingles left, holds their intersection to that room: its partners have at most `most` shingles. Of a
+    group of copies that differ each in its own way the first shingles are their own, so few meet.
+    """
+    each = scratch.table(shingle_rows(texts.join(left.select(F.col("class").alias("doc_id")).hint("merge"), "doc_id"), size))
+    held = scratch.table(each.groupBy("shingle").agg(F.count("*").alias("df")))
+    own = F.sort_array(F.collect_list(F.when(F.col("df") > 1, F.struct("df", "shingle"))))
+    sets = each.join(held, "shingle").groupBy("class", "part").agg(F.count("*").cast("long").alias("n"), own.alias("_own"))
+    alone = F.col("n") - F.size("_own")
+    sets = sets.withColumn("_first", alone).withColumn("_take", F.expr(f"n - ({percent} * n + 99) div 100 + 1") - alone).where("_take > 0")
+    found = sets.select("class", "n", "_first", F.posexplode(F.expr("slice(_own, 1, cast(_take as int))")).alias("_place", "_one"))
+    most = F.expr(f"((100 + {percent}) * (n - _first - _place)) div {percent} - n")
+    found = found.select(F.col("_one.shingle").alias("shingle"), "class", "n", most.alias("most"))
+    return scratch.table(found.join(left, "class").select("shingle", "class", "component", "n", "most"))
+
+
+def apart(entries: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes in different components that may be similar, from rare_entries.
+
+    A shingle's entries that no other can match by size are dropped, by one sum. Entries of a shingle's main
+    component are met by those of others alone, so a group of copies that is one component but for a few costs
+    a few times its size.
+    """
+    per = entries.groupBy("shingle", "component").agg(F.count("*").alias("k"), F.min("n").alias("lo"))
+    per = per.groupBy("shingle").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.min("lo").alias("lo"), F.count("*").alias("k")).where("k > 1").drop("k")
+    near = cut(entries.join(per, "shingle").where("most >= lo"))
+    x = near.where("component <> main").select("shingle", F.col("class").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("most").alias("mx"))
+    y = near.select("shingle", F.col("class").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("most").alias("my"))
+    met = x.join(y, "shingle").where("cx <> cy and ny <= mx and nx <= my")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -155,61 +216,19 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
-def within_buckets(members: DataFrame, texts: DataFrame, size: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """Confirmed links (a, b) between members (bucket, class, component, total, private) in different components.
-
-    A bucket's members are dealt to blocks by their share of private shingles, which bounds what two blocks'
-    members can have in common; a task holds two blocks of one bucket that may hold links. A bucket of any size
-    is so compared in bounded memory, and only links leave the task.
-    """
-
-    def run(table: pa.Table) -> pa.Table:
-        hashed, _, _, at = words(*arrow_bytes(table.column("text")), lower=True)
-        sets, own = shingles(hashed, at, size)
-        count = np.diff(own)
-        ids, comp, side = (table.column(c).to_numpy() for c in ("class", "component", "side"))
-        values, code, n = np.unique(sets, return_inverse=True, return_counts=True)
-        shared = n > 1  # a shingle of one member adds to no intersection
-        place = np.cumsum(shared) - 1
-        has = np.zeros((len(ids), int(shared.sum())), dtype=np.float32)
-        keep = shared[code]
-        has[np.repeat(np.arange(len(ids)), count)[keep], place[code[keep]]] = 1
-        x, y = np.flatnonzero(side < 2), np.flatnonzero(side > 0)
-        both = (has[x] @ has[y].T).astype(np.int64)
-        ok = (100 * both >= percent * (count[x][:, None] + count[y][None] - both)) & (both > 0) & (comp[x][:, None] != comp[y][None])
-        i, j = np.nonzero(ok)
-        one, two = ids[x[i]], ids[y[j]]
-        return pa.table({"a": np.minimum(one, two), "b": np.maximum(one, two)})
-
-    # Two sets of which shares a and b are private are at most 1 / (1 / (1 - a) + 1 / (1 - b) - 1) alike.
-    level = F.floor(LEVELS * F.col("private") / F.col("total")).cast("int")
-    members = members.withColumn("level", level).drop("total", "private")
-    blocks = members.groupBy("bucket", "level").agg(F.ceil(F.count("*") / block).cast("int").alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    blocks = blocks.groupBy("bucket").agg(F.collect_list(F.struct("level", "k")).alias("levels"), F.min("lo").alias("_lo"), F.max("hi").alias("_hi")).where("_lo <> _hi").drop("_lo", "_hi")
-    room = 1 + 100 / percent + 1e-9
-    fits = lambda x: 1 / (1 - F.col("level") / LEVELS) + 1 / (1 - x["level"] / LEVELS) <= room
-    dealt = members.join(blocks, "bucket").withColumn("k", F.filter("levels", lambda x: x["level"] == F.col("level"))[0]["k"])
-    mine = F.struct("level", F.pmod(F.xxhash64("class"), F.col("k")).cast("int").alias("b"))
-    every = F.flatten(F.transform(F.filter("levels", fits), lambda x: F.transform(F.sequence(F.lit(0), x["k"] - 1), lambda i: F.struct(x["level"].alias("level"), i.alias("b")))))
-    # A set whose own level doesn't fit itself still meets lower levels.
-    dealt = dealt.select("bucket", "class", "component", mine.alias("mine"), F.explode(every).alias("other"))
-    # side: 0 in the lower block, 2 in the higher one, 1 where both are the same.
-    side = F.when(F.col("mine") == F.col("other"), 1).when(F.col("mine") < F.col("other"), 0).otherwise(2)
-    dealt = dealt.select("bucket", "class", "component", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), side.alias("side"))
-    return dealt.join(texts.withColumnRenamed("doc_id", "class"), "class").groupBy("bucket", "lo", "hi").applyInArrow(run, "a long, b long")
-
-
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
     Rows with equal shingle sets are one class, named by its smallest doc_id. Classes that share a band's
-    bucket are compared in stars: each with the bucket's smallest class and with its most central one (whose
-    buckets together are the largest, so the original of a group of copies), then, where a bucket still spans
-    components of confirmed links, with another of its classes. What is left after that, pairs of one bucket in
-    different components, is compared in full, so no link between them is lost; there, shingles that only one
-    of the classes left has bound what it can share with any other, which rules out members of a group that
-    differ each in its own way. A group of copies so costs about as many comparisons as it has members. Before its whole sets are compared, a pair's signatures must agree as
-    far as the threshold less five and a half standard deviations.
+    bucket are first compared in stars: each with the bucket's smallest class and with its most central one
+    (whose buckets together are the largest, so the original of a group of copies). A group of copies so costs
+    about as many comparisons as it has members. Before whole sets are compared, a pair's signatures must agree
+    as far as the threshold less five and a half standard deviations.
+
+    What is left is every class that shares a bucket with another one in a different component and wasn't
+    compared with it. Any link between two of them in different components is found by the rare shingles that similar sets must share, an exact
+    rule on whole sets, so no such link is lost however many members a bucket has. Sets and words are compared by
+    64-bit hashes.
 
     Rows whose text is null or without words have an empty set, link with nothing and are kept. A text with
     fewer words than size is one shingle. Rows that share a doc_id are one node, linked by any of their texts;
@@ -217,40 +236,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     read. An empty table gives no rows.
     """
     with Scratch(docs.sparkSession) as scratch:
-        base = scratch.table(sketches(docs, size, bands, rows))
+        base = scratch.table(sketches(docs, size, bands * rows))
         sets = base.where("set_key is not null and doc_id is not null")
-        classes = scratch.table(sets.groupBy("set_key").agg(F.min("doc_id").alias("class"), F.min_by("signature", "doc_id").alias("signature"), F.min_by("bands", "doc_id").alias("bands")))
-        exploded = classes.select("class", F.explode("bands").alias("bucket"))
-        sizes = exploded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("first")).where("n > 1")
+        classes = scratch.table(sets.groupBy("set_key").agg(F.min("doc_id").alias("class"), F.min_by("signature", "doc_id").alias("signature")))
+        exploded = scratch.table(banded(classes, bands, rows))
+        sizes = exploded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("first"), F.max("class").alias("_last")).where("first <> _last").drop("_last")
         members = scratch.table(exploded.join(sizes, "bucket"))
-        texts = docs.where("doc_id is not null").select("doc_id", "text").join(members.select(F.col("class").alias("doc_id")).distinct(), "doc_id")
-        texts = scratch.table(texts)
-        weight = members.groupBy("class").agg(F.sum("n").alias("weight"))
-        central = members.join(weight, "class").groupBy("bucket").agg(F.max_by("class", F.struct("weight", -F.col("class"))).alias("hub"))
-        hubs = members.where("n > 2").join(central, "bucket").select(F.least("hub", "class").alias("a"), F.greatest("hub", "class").alias("b")).where("a <> b")
-        pairs = hubs.union(members.select(F.col("first").alias("a"), F.col("class").alias("b")).where("a <> b")).distinct()
-        links, tried = None, None
-        for turn in range(STAR_ROUNDS + 1):
-            if turn:
-                found = components(links).withColumnRenamed("node", "class")
-                own = members.select("bucket", "class").join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
-                pick = F.max_by(F.struct("class", "component"), F.xxhash64("class", F.lit(turn)))
-                mixed = own.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), pick.alias("_p")).where("_lo <> _hi")
-                own = cut(own.join(mixed.select("bucket", "_p"), "bucket"))
-                if turn < STAR_ROUNDS:
-                    pairs = own.where("component <> _p.component").select(F.least("class", "_p.class").alias("a"), F.greatest("class", "_p.class").alias("b"))
-                else:
-                    held = own_shingles(texts.join(own.select(F.col("class").alias("doc_id")).distinct(), "doc_id"), size)
-                    left = own.join(held, "class").where(f"100 * (total - private) >= {percent} * total").select("bucket", "class", "component", "total", "private")
-                    links = cut(links.union(within_buckets(left, texts, size, percent)).distinct())
-                    break
-                pairs = pairs.distinct().join(tried, ["a", "b"], "left_anti")
-            pairs = cut(pairs)
-            tried = pairs if tried is None else tried.union(pairs)
-            likely = agreeing(pairs, classes, percent, bands * rows)
-            new = cut(confirmed(likely, texts, size, percent))
-            links = new if links is None else cut(links.union(new))
-        found = components(links).select(F.col("node").alias("class"), "component")
+        crowded = cut(members.groupBy("class").agg(F.sum("n").alias("weight")))
+        ids = crowded.select(F.col("class").alias("doc_id"))
+        # The same plan at every size: joins with texts are by sorting.
+        found = likely_among(docs.where("doc_id is not null").select("doc_id", "text"), ids, crowded.count())
+        texts = scratch.table(found.join(ids.hint("merge"), "doc_id"))
+        signed = scratch.table(classes.select("class", "signature").join(crowded.select("class"), "class"))
+        hub = members.where("n > 2").join(crowded, "class").groupBy("bucket").agg(F.max_by("class", F.struct("weight", -F.col("class"))).alias("hub"))
+        members = scratch.table(members.join(hub, "bucket", "left"))
+        hubs = members.where("hub is not null").select(F.least("hub", "class").alias("a"), F.greatest("hub", "class").alias("b"))
+        pairs = cut(hubs.union(members.select(F.col("first").alias("a"), F.col("class").alias("b"))).where("a <> b").distinct())
+        links = cut(confirmed(agreeing(pairs, signed, percent, bands * rows), texts, size, percent))
+        found = components(links).withColumnRenamed("node", "class")
+        # Pairs with a bucket's smallest or central class are settled.
+        own = members.where("n > 2 and class <> first and class <> hub").select("bucket", "class").join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
+        mixed = own.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("bucket")
+        left = cut(own.join(mixed, "bucket").select("class", "component").distinct())
+        met = cut(apart(rare_entries(left, texts, size, percent, scratch)).join(pairs, ["a", "b"], "left_anti"))
+        more = cut(confirmed(agreeing(met, signed, percent, bands * rows), texts, size, percent))
+        if more.take(1):
+            found = components(links.union(more)).withColumnRenamed("node", "class")
         out = base.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "class"), "set_key", "left").join(found, "class", "left")
         component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class", "doc_id"))
         return cut(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")))
