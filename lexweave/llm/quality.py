@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lexweave.llm.common import arrow_bytes, cool, words
+from lexweave.llm.common import arrow_bytes, cool, lean, words
 
 #: Feature space: hashes of runs of 1 to 4 bytes.
 BITS, GRAMS = 18, (1, 2, 3, 4)
@@ -162,6 +162,7 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, rows: int = SAMPLE
 
     Rows without id or label are left out; of several labels of one id the smallest counts.
     """
+    lean(docs.sparkSession)
     one = labels.where(~held_out(F.col("doc_id")) & F.col(column).isNotNull()).groupBy("doc_id").agg(F.min(column).cast("int").alias("label"))
     picked = one.orderBy(F.md5(F.concat(F.lit(salt), F.col("doc_id").cast("string"))), "doc_id").limit(rows)
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(F.broadcast(picked), "doc_id")

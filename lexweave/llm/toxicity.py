@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lexweave.llm.common import arrow_bytes, cool, mix, _tables
+from lexweave.llm.common import arrow_bytes, cool, lean, mix, text_slices, _tables
 from lexweave.llm.quality import held_out, labelled
 
 #: Labelled rows that the word weights are learned from: the documented bound.
@@ -366,6 +366,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, r
     Null and empty texts have no words and score what no evidence scores. Repeated rows get equal scores; columns
     other than doc_id and text are not read, and an empty table gives no rows.
     """
+    lean(docs.sparkSession)
     model = log_model(count_trigrams(docs))
     sample = labelled(docs, labels, "toxic", rows)
     shared = docs.sparkSession.sparkContext.broadcast(fit([t for t, _ in sample], [v for _, v in sample], model))
@@ -375,8 +376,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, r
         scorer = shared.value
         decoder = Decoder(scorer.model)
         for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                b = whole.slice(i, 256)
+            for b in text_slices(whole, 1):
                 data, at = arrow_bytes(b.column(1))
                 odd = suspects(data, at)
                 if odd.any():
