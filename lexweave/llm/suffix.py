@@ -8,10 +8,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from lexweave.llm.common import Scratch, arrow_bytes, cool, cut, gram_hashes, mix, words
+from lexweave.llm.common import Scratch, arrow_bytes, cool, cut, gram_hashes, mix, text_slices, words
 
 #: A passage has at least so many words.
 MIN_WORDS = 50
@@ -68,14 +67,20 @@ def core_words(min_words: int = MIN_WORDS, window: int = WINDOW) -> int:
     return min_words - window + 1
 
 
+def _tie() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")
+
+
 def _suffixes(docs: DataFrame, core: int) -> DataFrame:
-    """(key, doc, pos) of each retained suffix with core words left: the hash of those words, and where it is."""
+    """(key, doc, tie, pos) of each retained suffix with core words left: the hash of those words, and where it is.
+
+    tie, a hash of the text, tells texts of one doc_id apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cool()
         for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                b = whole.slice(i, 512)
+            for b in text_slices(whole, 1):
                 hashed, _, _, at = words(*arrow_bytes(b.column(1)))
                 where = anchors(hashed, at)
                 text = np.searchsorted(at, where, side="right") - 1
@@ -86,15 +91,15 @@ def _suffixes(docs: DataFrame, core: int) -> DataFrame:
                     for j in range(core):
                         key = key * np.uint64(0x9E3779B97F4A7C15) + hashed[where + j]
                     key = mix(key)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0).take(pa.array(text)), pa.array((where - at[text]).astype(np.int32))], ["key", "doc", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0).take(pa.array(text)), b.column(2).take(pa.array(text)), pa.array((where - at[text]).astype(np.int32))], ["key", "doc", "tie", "pos"])
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "key long, doc long, pos int")
+    return docs.where("doc_id is not null").select("doc_id", "text", _tie()).mapInArrow(run, "key long, doc long, tie long, pos int")
 
 
 def _contexts(docs: DataFrame, core: int, reach: int) -> DataFrame:
-    """(key, doc, pos, room, right, left): reach word hashes after the core, and before the suffix, nearest first.
+    """(key, doc, tie, pos, room, right, left): reach word hashes after the core, and before the suffix, nearest first.
 
-    docs has doc_id, text and the suffixes' keys and positions, and whether a key is hot. Words that a text
+    docs has doc_id, text, tie and the suffixes' keys and positions, and whether a key is hot. Words that a text
     doesn't have are numbers of its own, so they equal nothing. room is how many words the text has after the
     core, up to reach, or -1 where the key is not hot.
     """
@@ -102,10 +107,9 @@ def _contexts(docs: DataFrame, core: int, reach: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cool()
         for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                b = whole.slice(i, 256)
+            for b in text_slices(whole, 1):
                 hashed, _, _, at = words(*arrow_bytes(b.column(1)))
-                lists = b.column(2)
+                lists = b.column(3)
                 counts = np.diff(lists.offsets.to_numpy())
                 flat = lists.flatten()
                 key, pos = flat.field("key").to_numpy(), flat.field("pos").to_numpy().astype(np.int64)
@@ -122,9 +126,9 @@ def _contexts(docs: DataFrame, core: int, reach: int) -> DataFrame:
                         own = (mix(ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
                     sides.append(np.where(there, short[np.clip(place, 0, max(len(short) - 1, 0))], own).astype(">u4"))
                 packed = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * reach), len(ids), [None, pa.py_buffer(np.ascontiguousarray(s))]).cast(pa.binary()) for s in sides]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(pos.astype(np.int32)), pa.array(room), *packed], ["key", "doc", "pos", "room", "right", "left"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), b.column(2).take(pa.array(text)), pa.array(pos.astype(np.int32)), pa.array(room), *packed], ["key", "doc", "tie", "pos", "room", "right", "left"])
 
-    return docs.mapInArrow(run, "key long, doc long, pos int, room int, right binary, left binary")
+    return docs.mapInArrow(run, "key long, doc long, tie long, pos int, room int, right binary, left binary")
 
 
 class _Entries:
@@ -132,7 +136,7 @@ class _Entries:
 
     def __init__(self, table: pa.Table, reach: int):
         table = table.combine_chunks()
-        self.key, self.doc, self.pos, self.room = (table.column(c).to_numpy() for c in ("key", "doc", "pos", "room"))
+        self.key, self.doc, self.tie, self.pos, self.room = (table.column(c).to_numpy() for c in ("key", "doc", "tie", "pos", "room"))
         self.side = {}
         for c in ("right", "left"):
             data = b"".join(table.column(c).to_pylist())
@@ -144,34 +148,20 @@ class _Entries:
         return np.where(differ.any(axis=1), differ.argmax(axis=1), differ.shape[1])
 
 
-def _edge_rows(table: pa.Table) -> list[tuple[int, dict]]:
-    """A sorted partition's ends: its first and last entries, and the earliest entry of its first and last key."""
-    n = table.num_rows
-    key, doc, pos = (table.column(c).to_numpy() for c in ("key", "doc", "pos"))
-    order = np.lexsort((pos, doc))
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.arange(n)
-    out = [(0, i) for i in range(min(NEIGHBOURS, n))] + [(1, i) for i in range(max(0, n - NEIGHBOURS), n)]
-    for kind, k in ((2, key[0]), (3, key[-1])):
-        own = np.flatnonzero(key == k)
-        out.append((kind, int(own[rank[own].argmin()])))
-    return out
-
-
-def _matches(e: _Entries, lo: int, hi: int, core: int, min_words: int) -> pa.RecordBatch:
-    """Spans of entries lo to hi that an earlier document has too, from neighbours and each side's earliest entry.
+def _matches(e: _Entries, core: int, min_words: int) -> pa.RecordBatch:
+    """Spans of sorted entries that an earlier document has too, from neighbours and each side's earliest entry.
 
     Of hot keys' entries also the windows of min_words around the core that none of these spans holds: rows with
     the window's hash and without a first document.
     """
     n = len(e.key)
     spare = min_words - core
-    settled = np.zeros((hi - lo, spare + 1), dtype=bool)  # by how many words of the window lie left of the suffix
+    settled = np.zeros((n, spare + 1), dtype=bool)  # by how many words of the window lie left of the suffix
     order = np.lexsort((e.pos, e.doc))
     rank = np.empty(n, dtype=np.int64)
     rank[order] = np.arange(n)
     group = np.cumsum(np.concatenate([[0], e.key[1:] != e.key[:-1]]))
-    own = np.arange(lo, hi)
+    own = np.arange(n)
     partners = []
     for step in range(1, NEIGHBOURS + 1):
         partners += [own - step, own + step]
@@ -189,18 +179,18 @@ def _matches(e: _Entries, lo: int, hi: int, core: int, min_words: int) -> pa.Rec
             left, right = e.common("left", x, y), core + e.common("right", x, y)
             ok = left + right >= min_words
             x, y, left, right = x[ok], y[ok], left[ok], right[ok]
-            settled[x - lo] |= (np.arange(spare + 1) <= left[:, None]) & (np.arange(spare + 1) >= (min_words - right)[:, None])
-            rows.append(np.stack([e.doc[x], e.pos[x] - left, e.pos[x] + right, e.doc[y], e.pos[y] - left], axis=1))
-    out = np.unique(np.concatenate(rows), axis=0) if rows else np.zeros((0, 5), np.int64)
+            settled[x] |= (np.arange(spare + 1) <= left[:, None]) & (np.arange(spare + 1) >= (min_words - right)[:, None])
+            rows.append(np.stack([e.doc[x], e.tie[x], e.pos[x] - left, e.pos[x] + right, e.doc[y], e.pos[y] - left], axis=1))
+    out = np.unique(np.concatenate(rows), axis=0) if rows else np.zeros((0, 6), np.int64)
     # Of spans alike but for the partner the earliest partner's stays.
     if len(out):
-        first = np.concatenate([[True], (out[1:, :3] != out[:-1, :3]).any(axis=1)])
+        first = np.concatenate([[True], (out[1:, :4] != out[:-1, :4]).any(axis=1)])
         out = out[first]
     x, taken, hashed = _open_windows(e, own, settled, spare)
-    columns = [pa.array(np.concatenate([out[:, i].astype(np.int64), more])) for i, more in enumerate((e.doc[x], e.pos[x] - taken, e.pos[x] - taken + min_words))]
-    columns += [pa.concat_arrays([pa.array(out[:, i].astype(np.int64)), pa.nulls(len(x), pa.int64())]) for i in (3, 4)]
+    columns = [pa.array(np.concatenate([out[:, i].astype(np.int64), more])) for i, more in enumerate((e.doc[x], e.tie[x], e.pos[x] - taken, e.pos[x] - taken + min_words))]
+    columns += [pa.concat_arrays([pa.array(out[:, i].astype(np.int64)), pa.nulls(len(x), pa.int64())]) for i in (4, 5)]
     columns.append(pa.concat_arrays([pa.nulls(len(out), pa.int64()), pa.array(hashed.view(np.int64))]))
-    return pa.RecordBatch.from_arrays(columns, ["doc", "start", "end", "first_doc", "first_start", "window"])
+    return pa.RecordBatch.from_arrays(columns, ["doc", "tie", "start", "end", "first_doc", "first_start", "window"])
 
 
 def _open_windows(e: _Entries, own: np.ndarray, settled: np.ndarray, spare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,133 +212,93 @@ def _open_windows(e: _Entries, own: np.ndarray, settled: np.ndarray, spare: int)
 
 
 def _merge(found: list) -> list[tuple[int, int, int, int]]:
-    """Overlapping spans of a document as one; the earliest document that any of them was found in stands for it."""
-    out: list[list[int]] = []
-    for s, e, d, f in sorted((r["start"], r["end"], r["first_doc"], r["first_start"]) for r in found):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-            if (d, f) < (out[-1][2], out[-1][3]):
-                out[-1][2:] = [d, f]
+    """Passages (start, end, first_doc, first_start) of one text from its spans.
+
+    Spans that overlap or touch are one passage only where they lie in the same earlier document at the same
+    distance, so every passage stands there as a whole. Passages inside another one are left out; of equal ones
+    the earliest document's stays.
+    """
+    joined: list[list[int]] = []
+    for d, f, s, e in sorted((r["first_doc"], r["first_start"] - r["start"], r["start"], r["end"]) for r in found):
+        if joined and joined[-1][2:] == [d, f] and s <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], e)
         else:
-            out.append([s, e, d, f])
-    return [tuple(x) for x in out]
+            joined.append([s, e, d, f])
+    out, reached = [], -1
+    for s, e, d, f in sorted(joined, key=lambda x: (x[0], -x[1], x[2], x[3])):
+        if e > reached:
+            out.append((s, e, d, s + f))
+            reached = e
+    return out
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start_word, n_words, first_doc_id, first_start_word): passages that a document of smaller id has too.
+    """(doc_id, start_word, n_words, first_doc_id, first_start_word, text_hash): passages that a document of smaller id has too.
 
     Positions count words from 0. Suffixes at content-selected positions are keyed by the words that any
     passage has from its first such position on; keys of one document alone are dropped, the others get the
     words around, are sorted by key, then words to the right, document and position, and dealt to tasks by
-    ranges of all of these, so that a passage in a third of all documents is spread like any other. Each entry
-    is compared with its neighbours and with the earliest entry before and after it of its key (carried from
-    task to task by a few rows each) and the match is extended to the left and right. Matches of min_words or
-    more, each within one document, count; overlapping ones are merged.
+    ranges: of the key, and of all of these where a key is hot, so that a passage in a third of all documents is
+    spread like any other. Each entry is compared with its neighbours and with the earliest entry before and after
+    it of its key and the match is extended to the left and right. Matches of min_words or more, each within one
+    document, count; those that overlap or touch in both documents alike are one passage, so a passage stands
+    as a whole in its first document. Passages of a document may overlap where they come from different ones.
 
     A key of at most NEIGHBOURS + 1 entries is so compared in full. Of any other key, each window of min_words
     around an entry's core that no match holds yet is grouped by its hash, and found in the earliest document
     that has it. Any passage consists of such windows, and the earliest document's own ones are never held by a
-    match, so nothing is missed whatever the number of entries of a key.
+    match, so nothing is missed whatever the number of entries of a key. Words are compared by 32 bits of their
+    hashes, of which min_words in a row must agree, or by 64-bit hashes of windows.
 
     Null, empty and short texts have no passages; rows without doc_id take no part; rows that share a doc_id
-    are one document, whose passages are counted in each. Repeats inside one document don't count. Columns of
-    docs other than doc_id and text are not read. An empty table gives no rows.
+    are one document, and each of their texts has its passages, told apart by text_hash (xxhash64). Repeats
+    inside one document don't count. Columns of docs other than doc_id and text are not read. An empty table gives
+    no rows.
     """
     spark = docs.sparkSession
     core = core_words(min_words)
     reach = min_words - core + 1
-    schema = "doc long, start long, end long, first_doc long, first_start long, window long"
+    schema = "doc long, tie long, start long, end long, first_doc long, first_start long, window long"
+    result = "doc_id long, start_word long, n_words long, first_doc_id long, first_start_word long, text_hash long"
     with Scratch(spark) as scratch:
         found = scratch.table(_suffixes(docs, core))
         shared = found.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), (F.count("*") > NEIGHBOURS + 1).alias("hot")).where("lo <> hi").select("key", "hot")
-        each = found.join(shared, "key").groupBy("doc").agg(F.collect_list(F.struct("key", "pos", "hot")).alias("at"))
-        texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(each, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "at")
+        each = found.join(shared, "key").groupBy("doc", "tie").agg(F.collect_list(F.struct("key", "pos", "hot")).alias("at"))
+        texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _tie()).join(each.withColumnRenamed("doc", "doc_id"), ["doc_id", "tie"]).select("doc_id", "text", "tie", "at")
         entries = scratch.table(_contexts(texts, core, reach))
         n = entries.count()
         if not n:
-            return spark.createDataFrame([], "doc_id long, start_word long, n_words long, first_doc_id long, first_start_word long")
-        ranged = cut(entries.repartitionByRange(max(1, math.ceil(n / ENTRIES)), "key", "right", "doc", "pos").sortWithinPartitions("key", "right", "doc", "pos"))
-
-        def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            got = list(batches)
-            if got and sum(b.num_rows for b in got):
-                table = pa.Table.from_batches(got)
-                rows = _edge_rows(table)
-                part = table.take(pa.array([i for _, i in rows]))
-                k = len(rows)
-                part = part.append_column("part", pa.array([TaskContext.get().partitionId()] * k, pa.int32())).append_column("kind", pa.array([kind for kind, _ in rows], pa.int32()))
-                yield from part.combine_chunks().to_batches()
-
-        kept = ranged.mapInArrow(edges, "key long, doc long, pos int, room int, right binary, left binary, part int, kind int").toArrow()
-        halo = _halos(kept)
+            return spark.createDataFrame([], result)
+        # A key that isn't hot stays in one range.
+        inner = [F.when(F.col("room") >= 0, F.col(c)) for c in ("right", "doc", "pos")]
+        ranged = entries.repartitionByRange(max(1, math.ceil(n / ENTRIES)), "key", *inner).sortWithinPartitions("key", "right", "doc", "pos")
 
         def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got = [b for b in batches if b.num_rows]
             if got:
-                before, after = halo.get(TaskContext.get().partitionId(), (None, None))
-                own = pa.Table.from_batches(got)
-                tables = [t for t in (before, own, after) if t is not None]
-                lo = before.num_rows if before is not None else 0
-                yield _matches(_Entries(pa.concat_tables([t.cast(own.schema) for t in tables]), reach), lo, lo + own.num_rows, core, min_words)
+                yield _matches(_Entries(pa.Table.from_batches(got), reach), core, min_words)
 
         matched = scratch.table(ranged.mapInArrow(match, schema))
         left = matched.where("window is not null")
         least = left.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("_lo"), F.max("doc").alias("_hi")).where("_lo.doc < _hi")
-        more = left.select("window", "doc", "start", "end").join(least, "window").where("_lo.doc < doc").select("doc", "start", "end", F.col("_lo.doc").alias("first_doc"), F.col("_lo.start").alias("first_start"))
-        spans = matched.where("window is null").drop("window").union(more).groupBy("doc").agg(F.collect_list(F.struct("start", "end", "first_doc", "first_start")).alias("found"))
+        more = left.join(least, "window").where("_lo.doc < doc").select("doc", "tie", "start", "end", F.col("_lo.doc").alias("first_doc"), F.col("_lo.start").alias("first_start"))
+        spans = matched.where("window is null").drop("window").union(more).groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "end", "first_doc", "first_start")).alias("found"))
 
         def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                rows = [(d, s, e - s, o, f) for d, found in zip(b["doc"], b["found"], strict=True) for s, e, o, f in _merge(list(found))]
-                yield pd.DataFrame(rows, columns=["doc_id", "start_word", "n_words", "first_doc_id", "first_start_word"])
-
-        return cut(spans.mapInPandas(merge, "doc_id long, start_word long, n_words long, first_doc_id long, first_start_word long"))
-
-
-def _halos(kept: pa.Table) -> dict[int, tuple[pa.Table | None, pa.Table | None]]:
-    """For each partition the entries around it that share its first or last key: the nearest, and the earliest."""
-    columns = ["key", "doc", "pos", "room", "right", "left"]
-    part, kind, key = (kept.column(c).to_pylist() for c in ("part", "kind", "key"))
-    doc, pos = kept.column("doc").to_pylist(), kept.column("pos").to_pylist()
-    of: dict[int, dict[int, list[int]]] = {}
-    for i, (p, k) in enumerate(zip(part, kind, strict=True)):
-        of.setdefault(p, {}).setdefault(k, []).append(i)
-    order = sorted(of)
-    out = {}
-    for at, p in enumerate(order):
-        sides = []
-        for near, least, step, mine in ((1, 2, -1, 0), (0, 3, 1, 1)):
-            own_key = key[of[p][2 + mine][0]]
-            rows, best, j = [], None, at + step
-            while 0 <= j < len(order):
-                other = of[order[j]]
-                # The earliest entry of the neighbour's nearest key, if that key is ours.
-                i = other[3 if step < 0 else 2][0]
-                if key[i] != own_key:
-                    break
-                if best is None or (doc[i], pos[i]) < (doc[best], pos[best]):
-                    best = i
-                if len(rows) < NEIGHBOURS:
-                    more = [r for r in other[near] if key[r] == own_key]
-                    rows = more + rows if step < 0 else rows + more
-                if key[other[2][0]] != key[other[3][0]]:
-                    break
-                j += step
-            if best is not None:
-                rows = rows[-NEIGHBOURS:] if step < 0 else rows[:NEIGHBOURS]
-                rows = [best, *rows] if step < 0 else [*rows, best]
-            sides.append(kept.select(columns).take(pa.array(rows, pa.int64())).combine_chunks() if rows else None)
-        out[p] = (sides[0], sides[1])
-    return out
+                rows = [(d, s, e - s, o, f, t) for d, t, found in zip(b["doc"], b["tie"], b["found"], strict=True) for s, e, o, f in _merge(list(found))]
+                yield pd.DataFrame(rows, columns=["doc_id", "start_word", "n_words", "first_doc_id", "first_start_word", "text_hash"])
+
+        return cut(spans.mapInPandas(merge, result))
 
 
 def drop_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """docs with the passages' words cut out of their texts, with the white space after each cut.
+    """docs with the passages' words (of the text that has the passage's text_hash) cut out, with the white space after each cut.
 
     n_chars, if there, follows the text. A document of which no word is left goes. Others, and rows without
     doc_id, stay as they are.
     """
-    cuts = passages.groupBy(F.col("doc_id").alias("__cut_doc")).agg(F.sort_array(F.collect_list(F.struct("start_word", "n_words"))).alias("__cut_spans"))
+    cuts = passages.groupBy(F.col("doc_id").alias("__cut_doc"), F.col("text_hash").alias("__cut_tie")).agg(F.sort_array(F.collect_list(F.struct("start_word", "n_words"))).alias("__cut_spans"))
 
     @F.pandas_udf("string")
     def cut_out(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -368,7 +318,7 @@ def drop_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
             out.append(b"".join([*parts, data[at:]]).decode())
         return pd.Series(out)
 
-    joined = docs.join(cuts, docs["doc_id"] == cuts["__cut_doc"], "left")
+    joined = docs.join(cuts, (docs["doc_id"] == cuts["__cut_doc"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == cuts["__cut_tie"]), "left")
     joined = joined.withColumn("text", cut_out("text", "__cut_spans"))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.when(F.col("__cut_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
