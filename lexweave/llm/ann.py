@@ -59,8 +59,8 @@ class CollisionIndex:
         self.need, self.least = 1 + int(VERIFY * n), math.ceil(SHARE * m)
         # Where windows begin to grow: what a few of the block's own vectors needed, less one step.
         self.start = float(np.median(np.abs(spots - np.median(spots, axis=0)))) / 8 or 1e-9
-        tried = [self.windows(q, self.start, 20)[1] for q in self.vectors[:: max(1, n // 8)][:8]] if n > 160 else []
-        self.start = min(tried) / WIDEN if tried else self.start
+        tried = [self.windows(q, self.start, 20)[1] for q in self.vectors[:: max(1, n // 8)][:8]]
+        self.start = min(tried) / WIDEN
 
     def windows(self, query: np.ndarray, half: float, k: int) -> tuple[np.ndarray, float]:
         """The vectors that pass the threshold once enough do, and the half-width they needed."""
@@ -84,8 +84,6 @@ class CollisionIndex:
     def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and inner products of the k nearest verified vectors other than own, nearest first."""
         query = query.astype(np.float64)
-        if len(self.ids) <= 8 * k:
-            return self.verify(np.arange(len(self.ids)), own, query, k)
         return self.verify(self.windows(query, self.start, k)[0], own, query, k)
 
     def verify(self, found: np.ndarray, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +109,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BL
     vec_id is no candidate, and of repeated query rows one is asked. Ties go to the smaller vec_id. An empty
     table gives no rows.
     """
-    clean = [t.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.size("embedding").alias("dim")) for t in (vectors, queries)]
+    # Components as they are: scores are taken in double precision on the original vectors.
+    clean = [t.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if "float" in t.schema["embedding"].dataType.simpleString() else "array<double>").alias("embedding"), F.size("embedding").alias("dim")) for t in (vectors, queries)]
     data, asked = clean[0], clean[1].dropDuplicates(["vec_id"])
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     rows, longest = data.agg(F.count("*"), F.max(length)).first()
