@@ -1,4 +1,4 @@
-"""Dictionary reduction: which keys shorter keys rebuild exactly, level by level of key length."""
+"""Dictionary reduction: which keys shorter keys rebuild exactly, round by round as their parts are decided."""
 
 from __future__ import annotations
 
@@ -80,27 +80,41 @@ def candidates(words: DataFrame, literals: DataFrame, config: ReductionConfig, s
     return done
 
 
+def _waits(source: DataFrame, splits: DataFrame | None, found_atoms: DataFrame | None) -> DataFrame:
+    """(key, part): the stored keys whose decisions a key's own decision may depend on."""
+    if found_atoms is not None:
+        return found_atoms.select("key", F.col("atom").alias("part")).distinct()
+    return splits.select("key", F.explode(F.array("left", "right")).alias("part")).distinct()
+
+
 def greedy_basis(lexicon: DataFrame, config: ReductionConfig | None = None, forced: DataFrame | None = None) -> DataFrame:
     """A decision a key of lexicon (key, variants): kept as a literal, or left out because shorter keys rebuild it.
 
-    A word is rebuilt from proper parts of itself only, so every literal that matters to it is shorter: words of
-    one length are decided together, against the literals of all shorter lengths. The loop runs once a length;
-    each level is checkpointed. forced (key) are literals whatever can be made of them.
+    A word is rebuilt from proper parts of itself only, so it can be decided once its stored parts are. Each round
+    decides every word that waits for no undecided part; words without stored parts come first, all at once. There
+    are as many rounds as parts nest in parts, whatever the keys' lengths; each round's decisions are checkpointed
+    and only the waits that are left go on. forced (key) are literals whatever can be made of them. Keys are
+    distinct; a null key is a literal.
     """
     config = config or ReductionConfig()
-    source = cut(lexicon.select("key", "variants", F.char_length("key").alias("_len")))
-    splits = None if config.scored else cut(two_part_splits(source, source).withColumn("_len", F.char_length("key")))
-    found_atoms = cut(substrings(source, source).where("atom <> key").withColumn("_len", F.char_length("key"))) if config.scored or config.recursive or config.max_components > 2 else None
-    lengths = [r[0] for r in source.select("_len").distinct().orderBy("_len").collect()]
+    source = cut(lexicon.select("key", "variants"))
+    splits = None if config.scored else cut(two_part_splits(source, source))
+    found_atoms = cut(substrings(source, source).where("atom <> key")) if config.scored or config.recursive or config.max_components > 2 or config.linkers else None
+    waits = _waits(source, splits, found_atoms)
+    if forced is not None:
+        waits = waits.join(forced.select("key"), "key", "left_anti")
+    undecided, waits = source, cut(waits)
     decided, literals = None, None
-    for n in lengths:
-        level = source.where(F.col("_len") == n).drop("_len")
+    while True:
+        blocked = waits.select("key").distinct()
+        level = cut(undecided.join(blocked, "key", "left_anti"))
         free = level if forced is None else level.join(forced.select("key"), "key", "left_anti")
         if literals is None:
             made = free.select("key", F.lit(None).cast("array<string>").alias("components"), F.lit(None).cast("string").alias("linker"), F.lit(None).cast("string").alias("rule_id"), F.lit(None).cast("array<string>").alias("candidate"), F.lit(False).alias("limited")).where("false")
         else:
-            own = None if splits is None else splits.where(F.col("_len") == n).drop("_len").join(free.select("key"), "key", "left_semi")
-            made = candidates(free, literals, config, own, source.where(F.col("_len") < n) if config.recursive else None, None if found_atoms is None else found_atoms.where(F.col("_len") == n).drop("_len"))
+            own = None if splits is None else splits.join(free.select("key"), "key", "left_semi")
+            own_atoms = None if found_atoms is None else found_atoms.join(free.select("key"), "key", "left_semi")
+            made = candidates(free, literals, config, own, source if config.recursive else None, own_atoms)
         j = level.join(made, "key", "left")
         if forced is not None:
             j = j.join(forced.select("key", F.lit(True).alias("_forced")), "key", "left")
@@ -108,11 +122,14 @@ def greedy_basis(lexicon: DataFrame, config: ReductionConfig | None = None, forc
             j = j.withColumn("_forced", F.lit(None).cast("boolean"))
         exact = F.coalesce(F.col("candidate") == F.col("variants"), F.lit(False))
         reason = F.when(F.col("_forced"), "forced").when(F.col("limited"), "search-limit").when(F.col("candidate").isNull(), "no-composition").when(~exact, "pronunciation-mismatch")
-        level = cut(j.withColumn("literal", F.coalesce(F.col("_forced"), F.lit(False)) | ~exact).withColumn("reason", reason).select(*DECISION))
-        decided = level if decided is None else decided.unionByName(level)
-        kept = level.where("literal").select("key", "variants")
-        literals = kept if literals is None else cut(literals.unionByName(kept).coalesce(8)) if n % 4 == 0 else literals.unionByName(kept)
-    return decided
+        done = cut(j.withColumn("literal", F.coalesce(F.col("_forced"), F.lit(False)) | ~exact).withColumn("reason", reason).select(*DECISION))
+        decided = done if decided is None else decided.unionByName(done)
+        if not waits.take(1):
+            return decided
+        kept = done.where("literal").select("key", "variants")
+        literals = kept if literals is None else literals.unionByName(kept)
+        undecided = source.join(blocked, "key", "left_semi")
+        waits = cut(waits.join(done.select(F.col("key").alias("part")), "part", "left_anti"))
 
 
 def summary(decisions: DataFrame) -> DataFrame:
