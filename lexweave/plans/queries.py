@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from lexweave.functions import values as V
-from lexweave.operators import analytics, compare, compose, harness, lookup as L, models, reduction
+from lexweave.operators import analytics, cases, compare, compose, diagnostics, harness, lookup as L, models, program, reduction
 from lexweave.plans import derive as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -408,13 +408,13 @@ def three_part_segmentation(spark, d):
 _TWO = reduction.ReductionConfig(max_components=2)
 
 
-def _greedy_sql(levels: int = 40) -> str:
-    """The level loop written out, a step a key length."""
+def _greedy_sql(levels: int = 40, made: str = f"CASE WHEN contains(rp, 'ˈ') THEN lp || {_dem('rp')} ELSE lp || rp END") -> tuple[str, str]:
+    """The greedy reduction written out, a step a key length; made is what a rule makes of two parts."""
     parts = [_TOK, _LEX, "ke AS MATERIALIZED (SELECT key, pron, length(key) AS n FROM lex WHERE lang = 'de')"]
     parts.append("sp AS MATERIALIZED (SELECT k.key, k.n, i, a.key AS l, b.key AS r, a.pron AS lp, b.pron AS rp, k.pron FROM ke k, unnest(range(1, length(k.key))) AS u(i) JOIN ke a ON a.key = left(k.key, i) JOIN ke b ON b.key = substr(k.key, i + 1))")
     parts.append("d1 AS MATERIALIZED (SELECT key, NULL::VARCHAR AS made, true AS lit FROM ke WHERE n = 1)")
     for n in range(2, levels + 1):
-        cand = f"SELECT key, arg_max(CASE WHEN contains(rp, 'ˈ') THEN lp || {_dem('rp')} ELSE lp || rp END, i) AS made FROM sp WHERE n = {n} AND l IN (SELECT key FROM d{n - 1} WHERE lit) AND r IN (SELECT key FROM d{n - 1} WHERE lit) GROUP BY key"
+        cand = f"SELECT key, arg_max({made}, i) AS made FROM sp WHERE n = {n} AND l IN (SELECT key FROM d{n - 1} WHERE lit) AND r IN (SELECT key FROM d{n - 1} WHERE lit) GROUP BY key"
         parts.append(f"d{n} AS MATERIALIZED (SELECT * FROM d{n - 1} UNION ALL SELECT k.key, c.made, coalesce(c.made <> k.pron, true) FROM ke k LEFT JOIN ({cand}) c USING (key) WHERE k.n = {n})")
     return _with(*parts), f"d{levels}"
 
@@ -650,6 +650,92 @@ def composition_features(spark, d):
     return models.composition_features(compose.best_two_part(t, t), t)
 
 
+# Programs and diagnostics ------------------------------------------------------------------------------------
+
+_SHORT = 7  # the literals of these queries are the keys of at most as many letters
+_GERMAN = "ke AS MATERIALIZED (SELECT key, pron FROM lex WHERE lang = 'de'), lits AS (SELECT * FROM ke WHERE length(key) <= 7)"
+_PAIRS = "sp AS (SELECT k.key, k.pron, i, a.key AS l, a.pron AS lp, b.pron AS rp FROM ke k, unnest(range(1, length(k.key))) AS u(i) JOIN lits a ON a.key = left(k.key, i) JOIN lits b ON b.key = substr(k.key, i + 1) WHERE length(k.key) > 7)"
+_COMPOUND = f"comp AS (SELECT key, arg_max(CASE WHEN contains(rp, 'ˈ') THEN lp || {_dem('rp')} ELSE lp || rp END, i) AS made, arg_max(CASE WHEN contains(rp, 'ˈ') THEN 'C1' ELSE 'C0' END, i) AS rule FROM sp GROUP BY key)"
+_ENDINGS = [(1, "suffix", "en", "ən"), (2, "suffix", "er", "ɐ"), (3, "prefix", "ge", "gə"), (4, "suffix", "n", "n")]
+_AFFIXED = "aff AS (SELECT w.key, arg_min(CASE WHEN kind = 'suffix' THEN s.pron || added ELSE added || s.pron END, id) AS made, min(id)::VARCHAR AS rule FROM ke w, (VALUES " + ", ".join(map(str, _ENDINGS)) + ") AS r(id, kind, affix, added) JOIN lits s ON s.key = CASE WHEN kind = 'suffix' THEN left(w.key, length(w.key) - length(affix)) ELSE substr(w.key, length(affix) + 1) END WHERE length(w.key) > 7 AND CASE WHEN kind = 'suffix' THEN ends_with(w.key, affix) ELSE starts_with(w.key, affix) END GROUP BY w.key)"
+
+
+def _program(spark, d, selector=None):
+    t = D.lex(spark, d, "de").select("key", "variants")
+    rules = spark.createDataFrame(_ENDINGS, "rule_id int, kind string, affix string, added string")
+    stages = (("affix", program.affixes(rules)), ("compound", program.compound(_TWO)))
+    return program.Program(stages, selector), t, t.where(F.char_length("key") <= _SHORT)
+
+
+@query("program_first", _with(_TOK, _LEX, _GERMAN, _PAIRS, _COMPOUND, _AFFIXED) + "SELECT key, CASE WHEN a.key IS NOT NULL THEN 'affix' ELSE 'compound' END AS stage, CASE WHEN a.key IS NOT NULL THEN a.rule ELSE c.rule END AS rule, coalesce(a.made, c.made) AS pron FROM aff a FULL JOIN comp c USING (key)")
+def program_first(spark, d):
+    """Without a selector the first stage's proposal stands."""
+    p, t, literals = _program(spark, d)
+    return program.reconstruct(p, t.join(literals, "key", "left_anti"), literals).select("key", "stage", "rule", F.array_join("pronunciation", "|").alias("pron"))
+
+
+@query("program_lookup", _with(_TOK, _LEX, _WORDS, _GERMAN, _PAIRS, _COMPOUND, _AFFIXED) + "SELECT w.key, CASE WHEN k.key IS NULL THEN 'miss' WHEN length(w.key) <= 7 THEN 'literal' WHEN coalesce(c.made, a.made) IS NOT NULL THEN 'generated' ELSE 'unresolved' END AS outcome, coalesce(CASE WHEN length(w.key) <= 7 THEN k.pron ELSE coalesce(c.made, a.made) END, '') AS pron FROM (SELECT key FROM words UNION SELECT key FROM ke) w LEFT JOIN ke k ON w.key = k.key LEFT JOIN comp c ON w.key = c.key LEFT JOIN aff a ON w.key = a.key")
+def program_lookup(spark, d):
+    """A selector that prefers compounds, asked for all members and for words that may be none."""
+    p, t, literals = _program(spark, d, lambda c, f: models.choose_by_priority(c, ("compound", "affix")))
+    asked = D.lex_words(spark, d).select("key").union(t.select("key")).distinct()
+    return program.lookup(p, asked, literals, t).select("key", "outcome", F.coalesce(F.array_join("variants", "|"), F.lit("")).alias("pron"))
+
+
+_OPEN = f"""op AS (SELECT key, "left", linker, "right", r, pron = lp || rp OR (contains(rp, 'ˈ') AND pron = lp || {_dem('rp')}) AS exact FROM (SELECT c.*, CASE WHEN "left" = linker THEN '' ELSE a.pron END AS lp, CASE WHEN "right" = linker THEN '' ELSE b.pron END AS rp, row_number() OVER (PARTITION BY c.key ORDER BY length("left") DESC, "left", linker, "right") AS r FROM (SELECT k.key, k.pron, left(k.key, i - 1) AS "left", linker, substr(k.key, i + length(linker)) AS "right" FROM ke k, {_LINKERS}, unnest(range(2, length(k.key) + 1)) AS u(i) WHERE length(k.key) > 7 AND substr(k.key, i, length(linker)) = linker) c JOIN lits a ON a.key = "left" JOIN lits b ON b.key = "right") WHERE r <= 32)"""
+
+
+def _opportunities(spark, d):
+    t = D.lex(spark, d, "de").select("key", "variants")
+    return diagnostics.linker_opportunities(t, t.where(F.char_length("key") <= _SHORT))
+
+
+@query("linker_diagnostics", _with(_TOK, _LEX, _GERMAN, _OPEN) + "SELECT linker, count(*) FILTER (exact) AS exact_count, count(*) FILTER (NOT exact) AS mismatch_count FROM op LEFT JOIN (SELECT key, min(r) AS f FROM op WHERE exact GROUP BY key) USING (key) WHERE f IS NULL OR r <= f GROUP BY linker")
+def linker_diagnostics(spark, d):
+    return diagnostics.linker_counts(_opportunities(spark, d))
+
+
+@query("linker_totals", _with(_TOK, _LEX, _GERMAN, _OPEN) + "SELECT count(DISTINCT key) AS words_newly_segmentable, count(DISTINCT key) FILTER (exact) AS words_newly_exact FROM op")
+def linker_totals(spark, d):
+    return diagnostics.linker_totals(_opportunities(spark, d))
+
+
+_RANKED = f"rk AS (SELECT key, pron = lp || rp OR (contains(rp, 'ˈ') AND pron = lp || {_dem('rp')}) AS exact, row_number() OVER (PARTITION BY key ORDER BY i DESC) AS r FROM sp), er AS (SELECT k.key, min(r) FILTER (exact AND r <= 4) AS exact_rank FROM ke k LEFT JOIN rk USING (key) WHERE length(k.key) > 7 GROUP BY k.key)"
+
+
+def _ranks(spark, d):
+    t = D.lex(spark, d, "de").select("key", "variants")
+    return diagnostics.exact_ranks(t.where(F.char_length("key") > _SHORT), t.where(F.char_length("key") <= _SHORT), 4, 2)
+
+
+@query("exact_ranks", _with(_TOK, _LEX, _GERMAN, _PAIRS, _RANKED) + "SELECT key, exact_rank FROM er")
+def exact_ranks(spark, d):
+    return _ranks(spark, d)
+
+
+@query("exact_rank_summary", _with(_TOK, _LEX, _GERMAN, _PAIRS, _RANKED) + "SELECT count(*) FILTER (exact_rank = 1) AS exact_on_rank_1, count(*) FILTER (exact_rank > 1) AS exact_on_rank_2_to_k, count(*) FILTER (exact_rank IS NULL) AS not_exact_in_top_k FROM er")
+def exact_rank_summary(spark, d):
+    return diagnostics.rank_summary(_ranks(spark, d))
+
+
+@query("rule_verdicts")
+def rule_verdicts(spark, d):
+    decisions = _decisions(spark, d)
+    return diagnostics.rule_verdicts(reduction.alternate_rules(decisions), decisions)
+
+
+_CASE = "SELECT {0!r} AS \"case\", count(*) AS baseline_words, count(*) FILTER (lit) AS literal_words, count(*) FILTER (NOT lit) AS generated_words, 0::BIGINT AS missing, count(*) FILTER (NOT lit AND made <> pron) AS pronunciation_mismatch, count(*) FILTER (NOT lit AND made <> pron) = 0 AS lossless FROM {1} JOIN ke USING (key)"
+_PLAIN, _PLAIN_LAST = _greedy_sql(made="lp || rp")
+
+
+@query("case_runs", f"SELECT * FROM ({_GREEDY}{_CASE.format('stressed', _LAST)}) UNION ALL SELECT * FROM ({_PLAIN}{_CASE.format('plain', _PLAIN_LAST)})")
+def case_runs(spark, d):
+    """Two configured reductions, one inheriting from the other, run and verified."""
+    resolved = cases.resolve({"stressed": {"max_components": 2}, "plain": {"inherits": "stressed", "profile": "generic"}})
+    rows = cases.run_cases(D.lex(spark, d, "de").select("key", "variants"), resolved)
+    return rows.select("case", "baseline_words", "literal_words", "generated_words", "missing", "pronunciation_mismatch", "lossless")
+
+
 # Harness -----------------------------------------------------------------------------------------------------
 
 
