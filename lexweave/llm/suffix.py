@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -148,11 +148,46 @@ class _Entries:
         return np.where(differ.any(axis=1), differ.argmax(axis=1), differ.shape[1])
 
 
+def _level(e: _Entries) -> tuple[np.ndarray, Callable[[np.ndarray], np.ndarray]]:
+    """The first entry with each entry's key and words to the right, and a function that takes an entry's partners.
+
+    Where a text has a key several times, as in a run of repeated words, its n-th entry is held against the n-th one
+    of the partner's text (counted around), so that a whole run is matched at one distance.
+    """
+    n = len(e.key)
+    own = np.arange(n)
+    other = np.ones(n, dtype=bool)
+    other[1:] = (e.key[1:] != e.key[:-1]) | (e.side["right"][1:] != e.side["right"][:-1]).any(axis=1)
+    top = np.maximum.accumulate(np.where(other, own, 0))
+    other[1:] |= (e.doc[1:] != e.doc[:-1]) | (e.tie[1:] != e.tie[:-1])
+    heads = np.flatnonzero(other)
+    run = np.cumsum(other) - 1
+    sizes = np.diff(np.append(heads, n))
+    nth = own - heads[run]
+    return top, lambda partner: heads[run[partner]] + nth % sizes[run[partner]]
+
+
+def _joined(out: np.ndarray) -> np.ndarray:
+    """Spans (doc, tie, start, end, first_doc, first_start), those that overlap or touch at one distance as one."""
+    if not len(out):
+        return out
+    apart = out[:, 5] - out[:, 2]
+    out = out[np.lexsort((out[:, 2], apart, out[:, 4], out[:, 1], out[:, 0]))]
+    same = np.stack([out[:, 0], out[:, 1], out[:, 4], out[:, 5] - out[:, 2]])
+    group = np.concatenate([[0], np.cumsum((same[:, 1:] != same[:, :-1]).any(axis=0))])
+    big = out[:, 3].max() + 1
+    reach = np.maximum.accumulate(out[:, 3] + group * big) - group * big
+    first = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (out[1:, 2] > reach[:-1])]))
+    joined = out[first]
+    joined[:, 3] = reach[np.append(first[1:], len(out)) - 1]
+    return joined
+
+
 def _matches(e: _Entries, core: int, min_words: int) -> pa.RecordBatch:
     """Spans of sorted entries that an earlier document has too, from neighbours and each side's earliest entry.
 
     Of hot keys' entries also the windows of min_words around the core that none of these spans holds: rows with
-    the window's hash and without a first document.
+    the window's hash and where the text has it, and without a first document.
     """
     n = len(e.key)
     spare = min_words - core
@@ -168,7 +203,8 @@ def _matches(e: _Entries, core: int, min_words: int) -> pa.RecordBatch:
     big = np.int64(n + 1)
     before = np.minimum.accumulate(rank - group * big) + group * big
     after = np.minimum.accumulate((rank - (group[-1] - group) * big)[::-1])[::-1] + (group[-1] - group) * big
-    partners += [order[before][own], order[after][own]]
+    top, level = _level(e)
+    partners += [level(order[before]), level(order[after]), level(top)]
     rows = []
     for p in partners:
         ok = (p >= 0) & (p < n)
@@ -185,12 +221,16 @@ def _matches(e: _Entries, core: int, min_words: int) -> pa.RecordBatch:
     # Of spans alike but for the partner the earliest partner's stays.
     if len(out):
         first = np.concatenate([[True], (out[1:, :4] != out[:-1, :4]).any(axis=1)])
-        out = out[first]
+        out = _joined(out[first])
     x, taken, hashed = _open_windows(e, own, settled, spare)
-    columns = [pa.array(np.concatenate([out[:, i].astype(np.int64), more])) for i, more in enumerate((e.doc[x], e.tie[x], e.pos[x] - taken, e.pos[x] - taken + min_words))]
-    columns += [pa.concat_arrays([pa.array(out[:, i].astype(np.int64)), pa.nulls(len(x), pa.int64())]) for i in (4, 5)]
-    columns.append(pa.concat_arrays([pa.nulls(len(out), pa.int64()), pa.array(hashed.view(np.int64))]))
-    return pa.RecordBatch.from_arrays(columns, ["doc", "tie", "start", "end", "first_doc", "first_start", "window"])
+    windows = np.unique(np.stack([hashed.view(np.int64), e.doc[x], e.tie[x], e.pos[x] - taken], axis=1), axis=0)
+    heads = np.flatnonzero(np.concatenate([[True], (windows[1:, :3] != windows[:-1, :3]).any(axis=1)]) if len(windows) else np.zeros(0, bool))
+    starts = pa.ListArray.from_arrays(pa.array(np.append(heads, len(windows)).astype(np.int32)), pa.array(windows[:, 3].astype(np.int32)))
+    n, m = len(out), len(heads)
+    columns = [pa.array(np.concatenate([out[:, i].astype(np.int64), windows[heads, 1 + i]])) for i in (0, 1)]
+    columns += [pa.concat_arrays([pa.array(out[:, i].astype(np.int64)), pa.nulls(m, pa.int64())]) for i in (2, 3, 4, 5)]
+    columns += [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(windows[heads, 0])]), pa.concat_arrays([pa.nulls(n, starts.type), starts])]
+    return pa.RecordBatch.from_arrays(columns, ["doc", "tie", "start", "end", "first_doc", "first_start", "window", "starts"])
 
 
 def _open_windows(e: _Entries, own: np.ndarray, settled: np.ndarray, spare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,9 +277,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     Positions count words from 0. Suffixes at content-selected positions are keyed by the words that any
     passage has from its first such position on; keys of one document alone are dropped, the others get the
-    words around, are sorted by key, then words to the right, document and position, and dealt to tasks by
-    ranges: of the key, and of all of these where a key is hot, so that a passage in a third of all documents is
-    spread like any other. Each entry is compared with its neighbours and with the earliest entry before and after
+    around, are sorted by key, then words to the right, document and position, and dealt to tasks by
+    ranges: of the key, and of all of these but the position where a key is hot, so that a passage in a third of all
+    documents is spread like any other. A text that has a key several times (a run of repeated words) is held
+    against another one in step, so that the run is one passage. Each entry is compared with its neighbours and with the earliest entry before and after
     it of its key and the match is extended to the left and right. Matches of min_words or more, each within one
     document, count; those that overlap or touch in both documents alike are one passage, so a passage stands
     as a whole in its first document. Passages of a document may overlap where they come from different ones.
@@ -258,7 +299,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     spark = docs.sparkSession
     core = core_words(min_words)
     reach = min_words - core + 1
-    schema = "doc long, tie long, start long, end long, first_doc long, first_start long, window long"
+    schema = "doc long, tie long, start long, end long, first_doc long, first_start long, window long, starts array<int>"
     result = "doc_id long, start_word long, n_words long, first_doc_id long, first_start_word long, text_hash long"
     with Scratch(spark) as scratch:
         found = scratch.table(_suffixes(docs, core))
@@ -270,8 +311,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         if not n:
             return spark.createDataFrame([], result)
         # A key that isn't hot stays in one range.
-        inner = [F.when(F.col("room") >= 0, F.col(c)) for c in ("right", "doc", "pos")]
-        ranged = entries.repartitionByRange(max(1, math.ceil(n / ENTRIES)), "key", *inner).sortWithinPartitions("key", "right", "doc", "pos")
+        inner = [F.when(F.col("room") >= 0, F.col(c)) for c in ("right", "doc")]
+        ranged = entries.repartitionByRange(max(1, math.ceil(n / ENTRIES)), "key", *inner).sortWithinPartitions("key", "right", "doc", "tie", "pos")
 
         def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got = [b for b in batches if b.num_rows]
@@ -280,9 +321,11 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
         matched = scratch.table(ranged.mapInArrow(match, schema))
         left = matched.where("window is not null")
-        least = left.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("_lo"), F.max("doc").alias("_hi")).where("_lo.doc < _hi")
-        more = left.join(least, "window").where("_lo.doc < doc").select("doc", "tie", "start", "end", F.col("_lo.doc").alias("first_doc"), F.col("_lo.start").alias("first_start"))
-        spans = matched.where("window is null").drop("window").union(more).groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "end", "first_doc", "first_start")).alias("found"))
+        least = left.groupBy("window").agg(F.min(F.struct("doc", "starts")).alias("_lo"), F.max("doc").alias("_hi")).where("_lo.doc < _hi")
+        level = "transform(starts, (s, i) -> struct(cast(s as long) as start, cast(s + {n} as long) as end, _lo.doc as first_doc, cast(_lo.starts[i % size(_lo.starts)] as long) as first_start))"
+        more = left.join(least, "window").where("_lo.doc < doc").select("doc", "tie", F.expr(level.format(n=min_words)).alias("found"))
+        spans = matched.where("window is null").select("doc", "tie", F.array(F.struct("start", "end", "first_doc", "first_start")).alias("found"))
+        spans = spans.union(more).groupBy("doc", "tie").agg(F.flatten(F.collect_list("found")).alias("found"))
 
         def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:

@@ -406,6 +406,28 @@ def test_passages_beside_a_hot_core(spark):
     assert {(r.doc_id, r.start_word, r.n_words, r.first_doc_id, r.first_start_word) for r in found} == {(2 * i + 1, 12, 56, 2 * i, 12) for i in range(40)}
 
 
+@pytest.mark.parametrize("entries", [60_000, 300])
+def test_runs_of_repeated_words_are_one_passage(spark, entries, monkeypatch):
+    """A run of the same two words in many documents is one passage of each, not one for every place it could lie."""
+    monkeypatch.setattr(suffix, "ENTRIES", entries)
+    own = lambda i, k: " ".join(f"o{i}_{j}" for j in range(k))
+    rows = [(i, f"{own(i, 20 + i % 3)} {'is that ' * 130}{own(-i - 1, 9)}") for i in range(40)]
+    found = suffix.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    if entries > 300:
+        assert sorted((r.doc_id, r.start_word, r.n_words, r.first_start_word - 20 - r.first_doc_id % 3) for r in found) == [(i, 20 + i % 3, 260, 0) for i in range(1, 40)]
+    else:  # the last words of a run may be in another task than the others
+        assert len(found) <= 3 * 39 and all(any(r.doc_id == i and r.n_words >= 230 for r in found) for i in range(1, 40))
+    # Runs of different lengths: all words of each, in few rows.
+    rows = [(i, f"{own(i, 20 + i % 3)} {'is that ' * (60 + 7 * i % 150)}{own(-i - 1, 9)}") for i in range(40)]
+    found = suffix.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got, want = {}, brute_passages(rows)
+    for r in found:
+        got.setdefault(r.doc_id, np.zeros(len(want[r.doc_id]), dtype=bool))[r.start_word : r.start_word + r.n_words] = True
+        text, first = dict(rows)[r.doc_id].split(), dict(rows)[r.first_doc_id].split()
+        assert r.first_doc_id < r.doc_id and text[r.start_word : r.start_word + r.n_words] == first[r.first_start_word : r.first_start_word + r.n_words]
+    assert got.keys() == want.keys() and all((got[i] == want[i]).all() for i in want) and len(found) < 40 * 12
+
+
 def test_drop_passages(docs, corpus):
     left = {r.doc_id: r for r in suffix.drop_passages(docs, suffix.repeated_passages(docs)).collect()}
     want = brute_passages(corpus)
