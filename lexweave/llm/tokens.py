@@ -12,6 +12,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from lexweave.llm.common import warm
 
@@ -23,6 +24,12 @@ MAX_BYTES, PIECE_BYTES = 72 << 20, 130
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"([{_LETTERS}]+)([.,;:!?]*)")
+#: Pieces of which the vocabularies' own cuts are these; others go to the library.
+_SIMPLE = re.compile(rf"[!-~{_LETTERS}]+")
+_CUTS = {
+    "word": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+"),
+    "byte": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+"),
+}
 #: White space that Python and the library may take differently, as UTF-8.
 _ODD_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81[\x9f-\xa4]|\xe3\x80\x80|\xef\xbb\xbf")
 #: How such a character begins: looking for bytes is much faster than the pattern.
@@ -42,6 +49,39 @@ def _byte_letters() -> list[str]:
     return out
 
 
+#: ASCII punctuation but for the apostrophe, with which some pre-tokens begin.
+_MARKS = np.zeros(256, dtype=bool)
+_MARKS[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SMALL = np.zeros(256, dtype=bool)
+_SMALL[97:123] = True
+
+
+def _apart(texts: pa.BinaryArray) -> pa.StringArray:
+    """Texts with ASCII and Latin-1 letters in lower case, and with a space where a mark follows such a letter.
+
+    The word vocabulary lowers texts and cuts there itself, so ids stay the same, and words that differ in case or in
+    the marks after them alone are one piece.
+    """
+    _, offsets, data = texts.buffers()
+    if data is None or not len(texts):
+        return texts.view(pa.string())
+    at = np.frombuffer(offsets, dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    found = _LOWER[np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]]]
+    letter = _SMALL[found]
+    lead = np.flatnonzero(found[:-1] == 0xC3) + 1
+    tail = found[lead]
+    latin = (tail >= 0x80) & (tail < 0xC0) & (tail & 0xDF != 0x97)  # not the signs of multiplication and division
+    letter[lead[latin]] = True
+    found[lead[latin & (tail < 0x9F)]] += 0x20
+    gaps = np.flatnonzero(letter[:-1] & _MARKS[found[1:]]) + 1
+    at = at - at[0]
+    out = np.insert(found, gaps, 32)
+    ends = (at + np.searchsorted(gaps, at)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends), pa.py_buffer(out))
+
+
 class Encoder:
     """Ids of texts. kind `word`: lower-cased words with word ends; kind `byte`: byte-level with leading spaces."""
 
@@ -105,6 +145,13 @@ class Encoder:
             found = self.parts[text] = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
         return found
 
+    def _cut(self, text: str) -> list[int]:
+        """The ids of a text's pre-tokens."""
+        out: list[int] = []
+        for x in _CUTS[self.kind].findall(text):
+            out += self._part(x)
+        return out
+
     def _piece(self, piece: bytes) -> list[int]:
         if self.kind == "word":
             if piece.isalpha():  # ASCII letters alone, which stand for themselves
@@ -112,7 +159,7 @@ class Encoder:
             text = piece.decode("utf-8", "replace")
             m = _PLAIN.fullmatch(text)
             if not m:
-                return self._library(text)
+                return self._cut(text.lower()) if _SIMPLE.fullmatch(text) else self._library(text)
             return self._part(m[1].lower()) + (self._part(m[2]) if m[2] else [])
         if piece.isalpha():
             return [t.id for t in self.model.tokenize(self.letters[32] + piece.decode("ascii"))]
@@ -122,7 +169,7 @@ class Encoder:
             head, lead, text = self._part("\n") if text[0] == "\n" else [], "", text[1:]
         m = _PLAIN.fullmatch(text)
         if not m:
-            return head + self._library(lead + text)
+            return head + (self._cut(lead + text) if _SIMPLE.fullmatch(text) else self._library(lead + text))
         return head + self._part(lead + m[1]) + (self._part(m[2]) if m[2] else [])
 
     def _add(self, piece: bytes) -> int:
@@ -132,40 +179,44 @@ class Encoder:
         self.bytes += PIECE_BYTES + len(piece) + 4 * len(ids)
         return k
 
-    def _pieces(self, text: bytes) -> list[bytes] | None:
-        """The pieces of a text, None if it must go to the library whole."""
+    def _certain(self, text: bytes) -> bool:
+        """Whether a text may be cut into pieces; else it must go to the library whole."""
         if any(c in text for c in _CONTROLS) or not text.isascii() and any(c in text for c in _ODD_STARTS) and _ODD_SPACE.search(text):
-            return None
+            return False
+        return self.kind == "word" or bool(text) and not (text[0] in b" \n" or text[-1] in b" \n" or any(c in text for c in _UNEVEN))
+
+    def _cuts(self, texts: list[bytes]) -> pa.ListArray:
+        """The pieces of texts; an empty piece has no ids."""
         if self.kind == "word":
-            return text.split()
-        if not text:
-            return []
-        if text[0] in b" \n" or text[-1] in b" \n" or any(c in text for c in _UNEVEN):
-            return None
-        return (b"\r" + text.replace(b"\n", b" \n")).split(b" ")
+            return pc.ascii_split_whitespace(_apart(pa.array(texts, pa.binary())))
+        return pc.split_pattern(pa.array([b"\r" + x.replace(b"\n", b" \n") for x in texts], pa.binary()).view(pa.string()), " ")
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each followed by END_ID, and the offsets of the texts; null is empty."""
         if self.bytes > self.max_bytes:
             self._forget()
-        get, found, counts, whole = self.at.get, [], [], []
-        for text in texts:
-            pieces = self._pieces(text or b"")
-            if pieces is None:
-                whole.append(self._library(text.decode("utf-8", "replace")))
-                own = [-len(whole)]
-            else:
-                own = list(map(get, pieces))
-                if None in own:
-                    for j, k in enumerate(own):
-                        if k is None:
-                            k = get(pieces[j])
-                            own[j] = self._add(pieces[j]) if k is None else k
-            own.append(0)
-            found += own
-            counts.append(len(own))
+        texts = [text or b"" for text in texts]
+        certain = np.fromiter(map(self._certain, texts), bool, len(texts))
+        pieces = self._cuts([text for text, c in zip(texts, certain.tolist(), strict=True) if c])
+        whole = [self._library(text.decode("utf-8", "replace")) for text, c in zip(texts, certain.tolist(), strict=True) if not c]
+        # Each distinct piece of these texts is looked up once.
+        distinct = pieces.flatten().dictionary_encode()
+        keys = distinct.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        own = list(map(self.at.get, keys))
+        for j, k in enumerate(own):
+            if k is None:
+                own[j] = self._add(keys[j])
+        counts = np.ones(len(texts), dtype=np.int64)
+        counts[certain] = np.diff(pieces.offsets.to_numpy())
+        counts += 1
+        last = np.cumsum(counts) - 1
+        picked = np.zeros(int(counts.sum()), dtype=np.int32)
+        found = np.ones(len(picked), dtype=bool)
+        found[last] = False
+        found[last[~certain] - 1] = False
+        picked[found] = np.array(own, dtype=np.int32)[distinct.indices.to_numpy()]
+        picked[last[~certain] - 1] = -1 - np.arange(len(whole))
         self._keep_new()
-        picked = np.array(found, dtype=np.int32)
         known = np.maximum(picked, 0)
         flat, starts, lengths = self.flat, self.starts[known], self.lengths[known]
         if whole:
@@ -179,7 +230,7 @@ class Encoder:
         total = int(ends[-1]) if len(ends) else 0
         kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
         ids = flat[np.repeat((starts - (ends - lengths)).astype(kind), lengths) + np.arange(total, dtype=kind)]
-        return ids, np.concatenate([[0], ends[np.cumsum(counts) - 1]] if counts else [[0]]).astype(np.int64)
+        return ids, np.concatenate([[0], ends[last]]).astype(np.int64)
 
 
 def encoder(path: str, kind: str) -> Encoder:

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from lexweave.llm.packing import SumOfSquares, pack, packed_ids
 from lexweave.llm.tokenfile import EliasFano, TokenFile, dump_file, read_tokens, round_trip, write_tokens
-from lexweave.llm.tokens import Encoder
+from lexweave.llm.tokens import END_ID, Encoder
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ENCODERS = {"byte": Encoder(BYTE, "byte", 50), "word": Encoder(WORD, "word", 50)}
@@ -153,3 +153,12 @@ def test_sum_of_squares_takes_the_least_sum():
         assert levels.get(seq, 0) == offset
         assert dict((h, s) for s, h in best)[offset] == min(best)[0]
         levels[seq] = offset + size
+
+
+def test_words_that_differ_in_case_or_marks_are_one_piece():
+    enc = Encoder(WORD, "word")
+    texts = ["Straße straße, STRAßE! (straße) straße.,;", "Écouté écoutÉ; ÉCOUTÉ", "× ÷, À×, don't I'LL o'clock' é, É́. Ü!?", "a.b,c <|endoftext|>", ""]
+    ids, at = enc.encode([t.encode() for t in texts])
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == [*enc.whole.encode(t, add_special_tokens=False).ids, END_ID]
+    assert sum("straße".encode() in x.lower() for x in enc.at) == 2 and sum("cout".encode() in x for x in enc.at) == 1  # the other has a parenthesis before it
